@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Name suffixes ignored in comparison, and surname particles.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
@@ -34,7 +35,7 @@ def basic_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_accents(s: pd.Series) -> pd.Series:
     def fold(text):
         if text is None or text.isascii():
@@ -92,7 +93,7 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.lit(1.0) - F.try_divide(F.levenshtein(a, b).cast("double"), longest.cast("double")), F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-ZERO = F.lit(0)
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy")
 
 
@@ -18,8 +17,8 @@ def landed_attempted(c: Column) -> Column:
     landed, attempted = _int(F.get(parts, F.lit(0))), _int(F.get(parts, F.lit(1)))
     good = (F.size(parts) == 2) & landed.isNotNull() & attempted.isNotNull()
     return F.struct(
-        F.when(good, landed).otherwise(ZERO).alias("landed"),
-        F.when(good, attempted).otherwise(ZERO).alias("attempted"),
+        F.when(good, landed).otherwise(F.lit(0)).alias("landed"),
+        F.when(good, attempted).otherwise(F.lit(0)).alias("attempted"),
     )
 
 
@@ -27,7 +26,7 @@ def landed_attempted_prefix(c: Column) -> Column:
     """Lenient form: a leading ``<digits> of <digits>``, trailing text ignored."""
     pattern = r"^(\d+)\s+of\s+(\d+)"
     return F.struct(*[
-        F.coalesce(F.regexp_extract(F.trim(c), pattern, i).try_cast("int"), ZERO).alias(name)
+        F.coalesce(F.regexp_extract(F.trim(c), pattern, i).try_cast("int"), F.lit(0)).alias(name)
         for i, name in ((1, "landed"), (2, "attempted"))
     ])
 
@@ -36,13 +35,13 @@ def mmss_seconds(c: Column) -> Column:
     parts = F.split(c, ":")
     minutes, seconds = _int(F.get(parts, F.lit(0))), _int(F.get(parts, F.lit(1)))
     total = F.when(F.size(parts) == 2, minutes * 60 + seconds)
-    return F.coalesce(total, ZERO)
+    return F.coalesce(total, F.lit(0))
 
 
 def mmss_seconds_prefix(c: Column) -> Column:
     pattern = r"^(\d+):(\d+)"
     minutes, seconds = (F.regexp_extract(F.trim(c), pattern, i).try_cast("int") for i in (1, 2))
-    return F.coalesce(minutes * 60 + seconds, ZERO)
+    return F.coalesce(minutes * 60 + seconds, F.lit(0))
 
 
 def percent(c: Column) -> Column:
@@ -53,7 +52,7 @@ def percent(c: Column) -> Column:
 
 
 def first_int(c: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.trim(c), r"^(\S+)", 1).try_cast("int"), ZERO)
+    return F.coalesce(F.regexp_extract(F.trim(c), r"^(\S+)", 1).try_cast("int"), F.lit(0))
 
 
 def accuracy_percent(landed: Column, attempted: Column) -> Column:
@@ -104,5 +103,5 @@ def calendar_age(born: Column, as_of: Column) -> Column:
 
 def elapsed_seconds(round_no: Column, clock_s: Column, null_when_missing: bool = False) -> Column:
     """Five-minute rounds; a missing round counts as round zero unless asked for null."""
-    base = round_no if null_when_missing else F.coalesce(round_no, ZERO)
+    base = round_no if null_when_missing else F.coalesce(round_no, F.lit(0))
     return (base - 1) * 300 + clock_s

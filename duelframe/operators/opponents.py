@@ -77,7 +77,8 @@ def zscore_skills(profiled: DataFrame, fit_before: str | None = None) -> DataFra
         std = F.col(f"_std_{s}")
         std = F.when(std > 0, std).otherwise(F.lit(0.1))
         z = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("raw_opp_" + s) - F.col(f"_mean_{s}")) / std))
-        return F.coalesce(1 + z * 0.25, F.lit(1.0)).alias("opp_" + s)
+        # least and greatest skip nulls, so an unknown score needs its own branch.
+        return F.when(F.col("raw_opp_" + s).isNull(), F.lit(1.0)).otherwise(1 + z * 0.25).alias("opp_" + s)
 
     # One row, so joining it to every side is a broadcast of fixed size.
     return profiled.join(F.broadcast(stats)).select(*profiled.columns, *[scaled(s) for s in spec.SKILLS])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels
 from ..session import checkpoint_dir, int_setting
-from . import history
+from . import history, order_stats
 from .history import Lagged, Prefix
 
 POOL_ROWS = 5_000_000
@@ -172,6 +172,9 @@ def top_rated(final: DataFrame, n: int = 25) -> DataFrame:
 
 
 def rating_distribution(final: DataFrame) -> DataFrame:
+    """Mean, population deviation, range, count and exact median of the latest ratings."""
     c = F.col("elo")
-    return final.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-                     F.percentile_approx(c, 0.5, 1_000_000).alias("approx_median"), F.count(c).alias("n"))
+    stats = final.agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
+                      F.count(c).alias("n"))
+    # Whole-point buckets: a rating system spans a few thousand points.
+    return stats.join(F.broadcast(order_stats.exact_median(final, "elo", F.floor(c))))

@@ -139,7 +139,7 @@ CTE["skill_stats"] = "SELECT " + ", ".join(
     for s in spec.SKILLS) + " FROM opp_raw"
 
 CTE["opp_scaled"] = "SELECT r.*, " + ", ".join(
-    f"coalesce(1 + 0.25 * greatest(-2.0, least(2.0, (raw_opp_{s} - mean_{s}) / std_{s})), 1.0) AS opp_{s}"
+    f"CASE WHEN raw_opp_{s} IS NULL THEN 1.0 ELSE 1 + 0.25 * greatest(-2.0, least(2.0, (raw_opp_{s} - mean_{s}) / std_{s})) END AS opp_{s}"
     for s in spec.SKILLS) + " FROM opp_raw r CROSS JOIN skill_stats"
 
 CTE["opp_adj"] = """
