@@ -246,6 +246,65 @@ def elo_cte(k: str = "32.0") -> str:
 CTE["bout_rated"] = "SELECT * EXCLUDE (held), 1.0 / (1.0 + pow(10.0, (f2_elo - f1_elo) / 400.0)) AS f1_expected FROM elo_run WHERE seq > 0"
 
 
+CTE["led"] = f"""
+SELECT *, CASE WHEN p1 > 0.5 THEN name_1 ELSE name_2 END AS predicted_winner,
+  CASE WHEN abs(p1 - 0.5) >= 0.15 THEN 'HIGH' WHEN abs(p1 - 0.5) >= 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE WHEN past THEN won_name END AS actual_winner, CASE WHEN past THEN method END AS actual_method, CASE WHEN past THEN round_no END AS actual_round,
+  CASE WHEN past AND won_name NOT IN ('Draw', 'No Contest') THEN (CASE WHEN p1 > 0.5 THEN name_1 ELSE name_2 END) = won_name END AS correct
+FROM (SELECT contest_id, replace(lower(event_name), ' ', '-') AS event_id, contest_date, division, method, round_no,
+    row_number() OVER (PARTITION BY contest_date ORDER BY contest_id) - 1 AS position,
+    {name_sql('red_id')} AS name_1, {name_sql('blue_id')} AS name_2, {spread_sql('contest_id')} AS p1, contest_date < DATE '2000-01-01' AS past,
+    CASE WHEN winner = CAST(red_id AS VARCHAR) THEN {name_sql('red_id')} WHEN winner = CAST(blue_id AS VARCHAR) THEN {name_sql('blue_id')} ELSE winner END AS won_name
+  FROM bouts)"""
+
+CTE["led_events"] = """
+SELECT event_id, contest_date AS event_date, contest_date < DATE '2000-01-01' AS locked,
+  CASE WHEN day(contest_date) % 2 = 0 THEN 'live' ELSE 'backtest' END AS prediction_type,
+  CASE WHEN contest_date < DATE '2000-01-01' THEN CAST(count(*) FILTER (WHERE correct) AS BIGINT) END AS overall_correct,
+  CASE WHEN contest_date < DATE '2000-01-01' THEN count(correct) END AS overall_total,
+  CASE WHEN contest_date < DATE '2000-01-01' THEN coalesce(round(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / nullif(count(correct), 0) + 1e-12, 3), 0.0) END AS overall_accuracy
+FROM led GROUP BY event_id, contest_date"""
+
+CTE["other"] = f"""
+SELECT contest_id AS r_id, contest_date AS event_date, replace(lower(event_name), ' ', '-') AS event_id, event_name, method, round_no,
+  CASE WHEN division = 'Heavyweight' THEN substr(a, 1, 2) || substr(a, 4) ELSE a END AS name_1, b AS name_2,
+  CASE WHEN odd THEN back ELSE line END AS f1_line, CASE WHEN odd THEN line ELSE back END AS f2_line,
+  CASE WHEN winner = CAST(red_id AS VARCHAR) THEN CASE WHEN odd THEN b ELSE CASE WHEN division = 'Heavyweight' THEN substr(a, 1, 2) || substr(a, 4) ELSE a END END
+    WHEN winner = CAST(blue_id AS VARCHAR) THEN CASE WHEN odd THEN CASE WHEN division = 'Heavyweight' THEN substr(a, 1, 2) || substr(a, 4) ELSE a END ELSE b END ELSE winner END AS winner
+FROM (SELECT *, contest_id % 2 = 1 AS odd, CASE WHEN contest_id % 2 = 1 THEN {name_sql('blue_id')} ELSE {name_sql('red_id')} END AS a,
+    CASE WHEN contest_id % 2 = 1 THEN {name_sql('red_id')} ELSE {name_sql('blue_id')} END AS b,
+    CASE WHEN margin >= 0 THEN -(110 + 3 * margin) ELSE 100 - 2 * margin END AS line,
+    CASE WHEN -margin >= 0 THEN -(110 - 3 * margin) ELSE 100 + 2 * margin END AS back FROM bouts WHERE round_no IS NOT NULL)"""
+
+CTE["prices"] = """
+SELECT r_id, event_date, event_name, name_1, name_2, 'alpha' AS book, f1_line, f2_line FROM other
+UNION ALL SELECT r_id, event_date, event_name, name_1, name_2, 'beta', f1_line + CASE WHEN f1_line > 0 THEN 7 ELSE -7 END, f2_line + CASE WHEN f2_line > 0 THEN 7 ELSE -7 END FROM other"""
+
+_I = "CASE WHEN {x} < 0 THEN CAST(-{x} AS DOUBLE) / (100 - {x}) ELSE 100.0 / ({x} + 100) END"
+CTE["fair"] = f"""
+SELECT *, round(i1 / (i1 + i2) + 1e-12, 4) AS f1_fair, round(i2 / (i1 + i2) + 1e-12, 4) AS f2_fair
+FROM (SELECT *, CAST({_I.format(x='f1_line')} AS DOUBLE) AS i1, CAST({_I.format(x='f2_line')} AS DOUBLE) AS i2 FROM prices)"""
+
+CTE["agreed"] = """
+SELECT r_id, event_date, name_1, name_2, round(avg(round(f1_fair * 10000))) / 10000 AS f1_fair, round(avg(round(f2_fair * 10000))) / 10000 AS f2_fair, count(*) AS sources
+FROM fair GROUP BY r_id, event_date, name_1, name_2"""
+
+# All contest pairs of one date with both orientations scored: the brute-force form of pair matching.
+_SIM = "1.0 - CAST(levenshtein({a}, {b}) AS DOUBLE) / greatest(length({a}), length({b}))"
+CTE["date_pairs"] = f"""
+SELECT l.contest_id AS l_id, o.r_id, {_SIM.format(a='lower(l.name_1)', b='lower(o.name_1)')} AS s11, {_SIM.format(a='lower(l.name_2)', b='lower(o.name_2)')} AS s22,
+  {_SIM.format(a='lower(l.name_1)', b='lower(o.name_2)')} AS s12, {_SIM.format(a='lower(l.name_2)', b='lower(o.name_1)')} AS s21
+FROM led l JOIN other o ON o.event_date = l.contest_date"""
+
+CTE["best_pairs"] = """
+SELECT l_id, r_id, score, crossed > straight AS flipped FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM (
+    SELECT *, greatest(straight, crossed) AS score FROM (SELECT *, s11 + s22 AS straight, s12 + s21 AS crossed FROM date_pairs)) WHERE score >= 1.7) WHERE rn = 1"""
+
+CTE["snap"] = """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY side_id ORDER BY contest_date DESC, contest_id DESC) AS rn FROM bout_imputed) WHERE rn = 1"""
+
+
 def sql(body: str, elo: str | None = None, **own: str) -> str:
     """A complete statement: ``body`` preceded by the tables it uses; ``own`` adds private ones."""
     known = {**CTE, **own}

@@ -11,6 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions import market as odds_math, names
 from ..session import stage
 from ..operators import career, history, imputation, opponents, ratings, reshape
 
@@ -180,3 +181,75 @@ class Tables:
         both = career.career_features(self.adjusted, self.chunks, self.division_chunks)
         return self._keep(reshape.temporal_flags(reshape.build_matchups(
             imputation.impute_early_career(both, self.medians))), "full_matchups")
+
+    # ---------------------------------------------------------------- second-source records
+    @cached_property
+    def ledger_contests(self) -> DataFrame:
+        """Predictions in card order; results are filled in for events before the cutoff."""
+        c, p = F.col, spread(F.col("contest_id"))
+        n1, n2 = person_name(c("red_id")), person_name(c("blue_id"))
+        called = F.when(p > 0.5, n1).otherwise(n2)
+        past = c("contest_date") < F.lit(CUTOFF).cast("date")
+        won = (F.when(c("winner") == c("red_id").cast("string"), n1).when(c("winner") == c("blue_id").cast("string"), n2)
+               .otherwise(c("winner")))
+        placed = self.contests.withColumn("position", F.row_number().over(
+            Window.partitionBy("contest_date").orderBy("contest_id")) - 1)
+        return self._keep(placed.select(
+            "contest_id", names.slug(c("event_name")).alias("event_id"), "contest_date", "position", "division",
+            n1.alias("name_1"), n2.alias("name_2"), p.alias("p1"), called.alias("predicted_winner"),
+            odds_math.confidence(p).alias("confidence"), F.when(past, won).alias("actual_winner"),
+            F.when(past, c("method")).alias("actual_method"), F.when(past, c("round_text").try_cast("int")).alias("actual_round"),
+            F.when(past & ~c("winner").isin("Draw", "No Contest"), called == won).alias("correct")), "ledger_contests")
+
+    @cached_property
+    def ledger_events(self) -> DataFrame:
+        from ..operators import ledger
+        events = self.ledger_contests.groupBy("event_id", F.col("contest_date").alias("event_date")).agg(F.count(F.lit(1)).alias("size"))
+        scored = ledger.event_accuracy(self.ledger_contests)
+        past = F.col("event_date") < F.lit(CUTOFF).cast("date")
+        keep = lambda n: F.when(past, F.col(n)).alias(n)
+        return events.join(scored, "event_id").select(
+            "event_id", "event_date", past.alias("locked"),
+            F.when(F.dayofmonth("event_date") % 2 == 0, "live").otherwise("backtest").alias("prediction_type"),
+            keep("overall_correct"), keep("overall_total"), keep("overall_accuracy"))
+
+    @cached_property
+    def other_source(self) -> DataFrame:
+        """The same contests as another source lists them: every second one reversed, one division's names
+        misspelt, and none for contests without a round."""
+        c = F.col
+        odd = F.pmod("contest_id", F.lit(2)) == 1
+        n1, n2 = person_name(c("red_id")), person_name(c("blue_id"))
+        first, second = F.when(odd, n2).otherwise(n1), F.when(odd, n1).otherwise(n2)
+        typo = F.when(c("division") == "Heavyweight", F.concat(F.substring(first, 1, 2), F.substring(first, 4, 100))).otherwise(first)
+        line = F.when(c("margin") >= 0, -(110 + 3 * c("margin"))).otherwise(100 - 2 * c("margin"))
+        back = F.when(-c("margin") >= 0, -(110 - 3 * c("margin"))).otherwise(100 + 2 * c("margin"))
+        sign = F.when(odd, back).otherwise(line).cast("long"), F.when(odd, line).otherwise(back).cast("long")
+        won = (F.when(c("winner") == c("red_id").cast("string"), F.when(odd, second).otherwise(typo))
+               .when(c("winner") == c("blue_id").cast("string"), F.when(odd, typo).otherwise(second)).otherwise(c("winner")))
+        return self._keep(self.contests.filter("round_text IS NOT NULL").select(
+            c("contest_id").alias("r_id"), c("contest_date").alias("event_date"), names.slug(c("event_name")).alias("event_id"), "event_name",
+            typo.alias("name_1"), second.alias("name_2"), sign[0].alias("f1_line"), sign[1].alias("f2_line"),
+            won.alias("winner"), "method", c("round_text").try_cast("int").alias("round")), "other_source")
+
+    @cached_property
+    def odds(self) -> DataFrame:
+        """Prices of two books per contest of the other source."""
+        fields = ["r_id", "event_date", "event_name", "name_1", "name_2"]
+        book = lambda name, shift: self.other_source.select(
+            *fields, F.lit(name).alias("book"), *[(F.col(f) + F.when(F.col(f) > 0, shift).otherwise(-shift)).alias(f) for f in ("f1_line", "f2_line")])
+        return book("alpha", 0).unionByName(book("beta", 7))
+
+    @cached_property
+    def consensus(self) -> DataFrame:
+        from ..operators import market
+        return market.fair_consensus(market.book_fair(self.odds), ["r_id", "event_date", "name_1", "name_2"])
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        from ..operators import serving
+        return serving.latest_snapshot(self.matchups, SNAPSHOT_FEATURES)
+
+
+SNAPSHOT_FEATURES = ["n_prior", "wins_prior", "losses_prior", "win_rate", "finish_rate", "win_streak", "loss_streak", "days_since_last",
+                     "win_rate_last_3", "win_rate_last_5", "sig_landed_last_5", "sig_absorbed_last_5", "td_landed_last_5"]
