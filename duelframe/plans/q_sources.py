@@ -92,15 +92,15 @@ def _(t):
 
 
 @query("write_predictions", sql(f"""
-SELECT m.contest_id, CAST({spread_sql('m.contest_id')} AS VARCHAR) AS p1, f.factors FROM bout_matchups m LEFT JOIN (
+SELECT m.contest_id, {r6(spread_sql('m.contest_id'))} AS p1, f.factors FROM bout_matchups m LEFT JOIN (
   SELECT contest_id, string_agg(feature || ':' || printf('%.3f', value), '; ' ORDER BY rank) AS factors FROM rankf WHERE rank <= 5 GROUP BY 1) f ON f.contest_id = m.contest_id""",
-    **_FACSQL).replace("printf('%.3f', value)", "printf('%.3f', round(value + 1e-9, 3))"))
+    **_FACSQL).replace("printf('%.3f', value)", "replace(printf('%.3f', round(value + 1e-9, 3)), '-0.000', '0.000')"))
 def _(t):
     path = _folder(t, "predictions")
     out = serving.top_factors(t.matchups.select("contest_id", *_FAC), _FAC, 5).withColumn(
         "factors", F.transform("factors", lambda x: F.struct(x["feature"].alias("feature"), F.round(x["value"] + 1e-9, 3).alias("value"))))
     writers.write_predictions(out.select("contest_id", spread(C("contest_id")).alias("p1"), "factors"), path)
-    return t.spark.read.option("header", True).schema("contest_id long, p1 string, factors string").csv(path)
+    return t.spark.read.option("header", True).schema("contest_id long, p1 double, factors string").csv(path)
 
 
 @query("write_event_docs", sql(f"""
