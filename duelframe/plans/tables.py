@@ -87,7 +87,7 @@ class Tables:
         verdict = F.element_at(F.array(*[F.lit(v) for v in ("Unanimous", "Split", "Majority")]), (c("red_cents") % 3 + 1).cast("int"))
         method = (F.when(void, F.lit("No Contest")).when(draw, F.lit("Draw")).when(c("flag") == "A", F.lit("KO/TKO"))
                   .when(c("flag") == "R", F.lit("Submission")).otherwise(F.concat(F.lit("Decision - "), verdict)))
-        clock = lambda s: F.format_string("%d:%02d", F.floor(s / 60), s % 60)
+        clock = lambda s: F.concat(F.floor(s / 60).cast("string"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
         known = c("contest_date") >= F.lit("1995-07-01").cast("date")
         of = lambda a, b: F.when(known, F.concat_ws(" of ", a.cast("string"), b.cast("string")))
         per_side = []
@@ -157,7 +157,8 @@ class Tables:
 
     @cached_property
     def medians(self) -> DataFrame:
-        return imputation.division_medians(self.career)
+        # From the unstaged plan: only the counter and four columns survive pruning.
+        return imputation.division_medians(career.career_features(self.sides, self.chunks))
 
     @cached_property
     def imputed(self) -> DataFrame:
@@ -175,12 +176,15 @@ class Tables:
     def rated(self) -> DataFrame:
         return self._keep(ratings.elo_ratings(self.games), "rated")
 
-    @cached_property
-    def full_matchups(self) -> DataFrame:
-        """Career, rolling, adjusted, style and temporal features of both sides."""
-        both = career.career_features(self.adjusted, self.chunks, self.division_chunks)
-        return self._keep(reshape.temporal_flags(reshape.build_matchups(
-            imputation.impute_early_career(both, self.medians))), "full_matchups")
+    def feature_table(self) -> DataFrame:
+        """The full feature table: career, rolling, adjusted, style and temporal features of both sides.
+
+        Only the side table and the profiled sides are staged (each is read twice). From there
+        one shuffle by competitor serves every window and one by contest pairs the sides.
+        """
+        adjusted = opponents.adjusted_features(opponents.adjust_by_opponent(self.skilled), self.chunks)
+        both = career.career_features(adjusted, self.chunks, self.division_chunks)
+        return reshape.temporal_flags(reshape.build_matchups(imputation.impute_early_career(both, self.medians)))
 
     # ---------------------------------------------------------------- second-source records
     @cached_property
