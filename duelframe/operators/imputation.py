@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import spec
 from ..functions import labels, parsing
@@ -17,10 +17,12 @@ def division_medians(career: DataFrame) -> DataFrame:
     """
     seasoned = F.col("n_prior") >= spec.RELIABLE_CONTESTS
     value = lambda c: F.when(seasoned, F.col(c))
-    per_division = career.groupBy("division").agg(*[F.median(value(c)).alias(m) for m, c in MEASURES.items()])
-    overall = career.agg(*[F.median(value(c)).alias("_all_" + m) for m, c in MEASURES.items()])
-    return per_division.join(F.broadcast(overall)).select(
-        "division", *[F.coalesce(m, "_all_" + m).alias("med_" + m) for m in MEASURES])
+    # One pass: the rollup adds the all-divisions row, which a window over the few result rows hands out.
+    levels = career.rollup("division").agg(F.grouping_id().alias("_all"), *[F.median(value(c)).alias(m) for m, c in MEASURES.items()])
+    everywhere = Window.partitionBy()
+    filled = levels.select("division", "_all", *[
+        F.coalesce(m, F.max(F.when(F.col("_all") == 1, F.col(m))).over(everywhere)).alias("med_" + m) for m in MEASURES])
+    return filled.filter("_all = 0").drop("_all")
 
 
 def impute_early_career(career: DataFrame, medians: DataFrame) -> DataFrame:

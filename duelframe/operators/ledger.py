@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import names
+from ..session import stage
 from . import market, matching
 from .reshape import NO_WINNER
 
@@ -49,7 +50,8 @@ def lock(events: DataFrame, contests: DataFrame, results: DataFrame, as_of: str,
               .when(first, F.col("name_1")).otherwise(F.col("name_2")))
     scored = joined.withColumns({"actual_winner": winner, "actual_method": F.col("_m"), "actual_round": F.col("_r")})
     right_call = names.basic_key(F.col("predicted_winner")) == names.basic_key(F.col("actual_winner"))
-    scored = scored.withColumn("correct", F.when(F.col("r_id").isNotNull() & ~no_winner(F.col("_w")), right_call))
+    # Read three times below: which events to lock, their contests, and their accuracy.
+    scored = stage(scored.withColumn("correct", F.when(F.col("r_id").isNotNull() & ~no_winner(F.col("_w")), right_call)), "settled")
     new = ["actual_winner", "actual_method", "actual_round", "correct"]
     done = scored.groupBy("event_id").agg(F.count("r_id").alias("_hits")).filter("_hits > 0").select("event_id")
     base = [c for c in contests.columns if c not in new]

@@ -76,25 +76,19 @@ def _(t):
 
 # ---------------------------------------------------------------- contest pairs
 def _left(t):
-    k = lambda c: names.basic_key(C(c))
-    return t.ledger_contests.select(C("contest_date").alias("event_date"), C("contest_id").alias("l_id"), k("name_1").alias("l1"), k("name_2").alias("l2"))
+    return t.ledger_names
 
 
 def _right(t):
-    k = lambda c: names.basic_key(C(c))
-    return t.other_source.select("event_date", "r_id", k("name_1").alias("r1"), k("name_2").alias("r2"))
+    return t.other_names
 
 
 SCOPE = ["event_date"]
 
 
-def _matched(t):
-    return matching.match_contest_pair(_left(t), _right(t), SCOPE)
-
-
 @query("match_contest_pair", sql(f"SELECT l_id, r_id, {real('score')}, flipped FROM best_pairs"))
 def _(t):
-    return _matched(t)
+    return matching.match_contest_pair(_left(t), _right(t), SCOPE)
 
 
 @query("match_contest_pair_gestalt")
@@ -135,7 +129,7 @@ SELECT 'left' AS side, l.contest_id, g.r_id AS closest, {r6('g.score')} AS score
 WHERE l.contest_id NOT IN (SELECT l_id FROM best_pairs)
 UNION ALL SELECT 'right', r_id, NULL, NULL FROM other WHERE r_id NOT IN (SELECT r_id FROM best_pairs)"""))
 def _(t):
-    return matching.match_gaps(_left(t), _right(t), _matched(t), SCOPE)
+    return matching.match_gaps(_left(t), _right(t), t.matched, SCOPE)
 
 
 @query("match_gap_reason", sql(f"""
@@ -143,7 +137,7 @@ SELECT l.contest_id AS l_id, {r6('score')} AS score, CASE WHEN score > 0.6 THEN
 FROM led l LEFT JOIN (SELECT l_id, max(s) AS score FROM (SELECT l_id, s22 AS s FROM date_pairs WHERE s11 = 1 AND s22 < 1 UNION ALL SELECT l_id, s11 FROM date_pairs WHERE s22 = 1 AND s11 < 1) GROUP BY 1) g
   ON g.l_id = l.contest_id WHERE l.contest_id NOT IN (SELECT l_id FROM best_pairs)"""))
 def _(t):
-    return matching.match_gap_reason(_left(t), _right(t), _matched(t), SCOPE)
+    return matching.match_gap_reason(_left(t), _right(t), t.matched, SCOPE)
 
 
 _CANON = dict(
@@ -209,7 +203,7 @@ _ORI = dict(oriented="""SELECT b.l_id AS contest_id, b.flipped, CASE WHEN b.flip
 
 
 def _oriented(t):
-    priced = _matched(t).join(t.consensus.select("r_id", "f1_fair", "f2_fair"), "r_id")
+    priced = t.matched.join(t.consensus.select("r_id", "f1_fair", "f2_fair"), "r_id")
     return market.orient(priced, [("f1_fair", "f2_fair")]).select(C("l_id").alias("contest_id"), "flipped", "f1_fair", "f2_fair")
 
 

@@ -44,13 +44,15 @@ def tables(spark: SparkSession, folder: str) -> "Tables":
 
 
 class Tables:
-    """Lazily built tables; with ``staged`` each shared one is written once and read by all later queries."""
+    """Lazily built tables. Staged ones are written once and read by all later queries:
+    every shared table by default, the named ones, or none."""
 
-    def __init__(self, spark: SparkSession, folder: str, staged: bool = True):
+    def __init__(self, spark: SparkSession, folder: str, staged: bool | tuple[str, ...] = True):
         self.spark, self.folder, self.staged = spark, folder, staged
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name) if self.staged else df
+        wanted = self.staged if isinstance(self.staged, bool) else name in self.staged
+        return stage(df, name) if wanted else df
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -127,17 +129,12 @@ class Tables:
 
     @cached_property
     def chunks(self) -> DataFrame | None:
-        return history.hot_chunks(self._keys, ["side_id"])
+        return history.hot_chunks(self.sides, ["side_id"])
 
     @cached_property
     def division_chunks(self) -> DataFrame | None:
         # A competitor's rows in one division are a part of all its rows.
-        return None if self.chunks is None else history.hot_chunks(self._keys, ["side_id", "division"])
-
-    @cached_property
-    def _keys(self) -> DataFrame:
-        both = F.explode(F.array("red_id", "blue_id")).alias("side_id")
-        return self.contests.select(both, "division", "contest_date")
+        return None if self.chunks is None else history.hot_chunks(self.sides, ["side_id", "division"])
 
     @cached_property
     def career(self) -> DataFrame:
@@ -236,6 +233,23 @@ class Tables:
             typo.alias("name_1"), second.alias("name_2"), sign[0].alias("f1_line"), sign[1].alias("f2_line"),
             won.alias("winner"), "method", c("round_text").try_cast("int").alias("round")), "other_source")
 
+    @cached_property
+    def matched(self) -> DataFrame:
+        """Ledger contests with their partner in the other source."""
+        from ..operators import matching
+        return self._keep(matching.match_contest_pair(self.ledger_names, self.other_names, ["event_date"]), "matched")
+
+    @property
+    def ledger_names(self) -> DataFrame:
+        key = lambda c: names.basic_key(F.col(c))
+        return self.ledger_contests.select(F.col("contest_date").alias("event_date"), F.col("contest_id").alias("l_id"),
+                                           key("name_1").alias("l1"), key("name_2").alias("l2"))
+
+    @property
+    def other_names(self) -> DataFrame:
+        key = lambda c: names.basic_key(F.col(c))
+        return self.other_source.select("event_date", "r_id", key("name_1").alias("r1"), key("name_2").alias("r2"))
+
     @cached_property
     def odds(self) -> DataFrame:
         """Prices of two books per contest of the other source."""
