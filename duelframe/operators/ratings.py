@@ -28,6 +28,8 @@ INITIAL, K_FACTOR = 1500.0, 32.0
 K_BASE, K_MIN, K_DECAY = 32.0, 16.0, 0.5
 
 _STATE = ("elo", "peak", "seen")
+# Input columns handed through the fold, so that its result needs no join back.
+_FACTS = ("pool", "k", "contest_date", "f1_id", "f2_id", "score")
 _OUT = ("contest_id", "f1_elo", "f2_elo", "f1_peak", "f2_peak", "f1_seen", "f2_seen", "f1_post", "f2_post",
         "f1_post_peak", "f2_post_peak")
 
@@ -62,7 +64,8 @@ def _fold(dynamic: bool):
             state[a], state[b] = (qa, ta, na + 1), (qb, tb, nb + 1)
             rows.append((cid, ra, rb, pa, pb, na, nb, qa, qb, ta, tb))
         out = pd.DataFrame(rows, columns=list(_OUT))
-        out["pool"], out["k"] = pdf["pool"].iloc[0], pdf["k"].iloc[0]
+        for c in _FACTS:
+            out[c] = pdf[c].to_numpy()
         return out
     return run
 
@@ -73,10 +76,9 @@ def _start(df: DataFrame, initial: float) -> DataFrame:
 
 
 def _folded(df: DataFrame, dynamic: bool) -> DataFrame:
-    id_type = df.schema["contest_id"].dataType.simpleString()
-    pool_type = df.schema["pool"].dataType.simpleString()
-    schema = (f"contest_id {id_type}, " + ", ".join(f"{c} double" for c in _OUT[1:5]) + ", f1_seen long, f2_seen long, "
-              + ", ".join(f"{c} double" for c in _OUT[7:]) + f", pool {pool_type}, k double")
+    kind = lambda c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind("contest_id"), *[f"{c} double" for c in _OUT[1:5]], "f1_seen long", "f2_seen long",
+                        *[f"{c} double" for c in _OUT[7:]], *[kind(c) for c in _FACTS]])
     return df.groupBy("pool", "k").applyInPandas(_fold(dynamic), schema)
 
 
@@ -87,13 +89,12 @@ def elo_ratings(games: DataFrame, k: float | list[float] = K_FACTOR, initial: fl
     games = games.withColumn("k", F.explode(F.array(*[F.lit(v) for v in grid])))
     bound = int_setting(games.sparkSession, "duelframe.poolRows", POOL_ROWS)
     large = games.filter(F.col("k") == grid[0]).groupBy("pool").count().filter(F.col("count") > bound).select("pool")
-    facts = ["contest_id", "k", "contest_date", "f1_id", "f2_id", "score"]
     if large.isEmpty():
         rated = _folded(_start(games, initial), dynamic_k)
     else:
         rated = _folded(_start(games.join(large, "pool", "left_anti"), initial), dynamic_k).unionByName(
             _chained(games.join(large, "pool", "left_semi"), bound, initial, dynamic_k))
-    return rated.join(games.select(*facts), ["contest_id", "k"]).withColumns({
+    return rated.withColumns({
         "diff_elo": F.col("f1_elo") - F.col("f2_elo"),
         "f1_expected": labels.elo_expected(F.col("f1_elo"), F.col("f2_elo"))})
 
@@ -126,7 +127,7 @@ def _chained(games: DataFrame, bound: int, initial: float, dynamic: bool) -> Dat
         rated = _folded(part, dynamic)
         rated.write.parquet(f"{folder}/rated/window={i}")
         done = spark.read.parquet(f"{folder}/rated/window={i}")
-        newest = _after(done.join(part.select("contest_id", "k", "contest_date", "f1_id", "f2_id"), ["contest_id", "k"]))
+        newest = _after(done)
         if state is not None:
             newest = newest.unionByName(state.join(newest, ["pool", "k", "side_id"], "left_anti"))
         newest.write.parquet(f"{folder}/state/window={i}")

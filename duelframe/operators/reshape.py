@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import spec
 from ..functions import labels, parsing
 
+# One-hot columns are a schema decision: beyond this many values the column is no category.
+MAX_VALUES = 1000
 # Outcome words that name no winner.
 NO_WINNER = ("draw", "no contest", "nc", "unknown")
 
@@ -108,8 +110,11 @@ def temporal_flags(matchups: DataFrame) -> DataFrame:
 
 
 def one_hot_dynamic(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """One 0/1 column per value present; the values are a small distinct list read first."""
-    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    """One 0/1 column per value present. The values are read first; more than ``MAX_VALUES`` of them is an error."""
+    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_VALUES + 1).collect()
+    if len(found) > MAX_VALUES:
+        raise ValueError(f"{column} has more than {MAX_VALUES} values")
+    values = sorted(r[0] for r in found)
     return df.withColumns({prefix + v: F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
 
 

@@ -125,7 +125,7 @@ def test_late_contest_is_flagged_and_recomputed(spark, tmp_path):
     arrivals = str(tmp_path / "in")
     for part in rows_:
         spark.createDataFrame(part, incremental.SIDE_ROWS).coalesce(1).write.mode("append").parquet(arrivals)
-    out = incremental.stream_career_counters(spark, arrivals, str(tmp_path / "out"))
+    out = incremental.stream_career_counters(spark, arrivals, str(tmp_path / "out"), files_per_batch=1)
     assert rows(out, "contest_id", "n_prior", "late") == [(1, 0, False), (2, 1, False), (3, None, True), (4, 0, False)]
     fixed = incremental.recompute_late(spark, arrivals, out)
     assert rows(fixed, "contest_id", "n_prior", "wins_prior") == [(1, 0, 0), (2, 2, 2), (3, 1, 1)]
