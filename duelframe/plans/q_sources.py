@@ -168,7 +168,9 @@ def contest_pages(t):
                                td(s(f"{x}_sub_att")), td(lit("0")), td(s(f"{x}_ctrl")), lit("</tr>"))
     aim = lambda x: F.concat(lit("<tr>"), td(lit(x)), td(s(f"{x}_sig_str")), td(lit("50%")), *[td(s(f"{x}_{c}")) for c in ("kd", "sub_att", "td", "total_str", "sig_str", "ctrl")], lit("</tr>"))
     page = F.concat(lit("<html><style>td{}</style><body>"), row, lit("<table>"), total("red"), total("blue"), lit("</table><table>"), aim("red"), aim("blue"), lit("</table></body></html>"))
-    return t.contests.select(C("contest_id").alias("page_id"), F.concat(lit("http://x/"), C("contest_id").cast("string")).alias("url"), page.alias("html"))
+    # Parsing is bound by Python time, so the small contest rows are spread over all cores before they become pages.
+    spread_out = t.contests.repartition(t.spark.sparkContext.defaultParallelism, "contest_id")
+    return spread_out.select(C("contest_id").alias("page_id"), F.concat(lit("http://x/"), C("contest_id").cast("string")).alias("url"), page.alias("html"))
 
 
 @query("extract_contest_rows", sql(f"""
