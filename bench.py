@@ -2,7 +2,7 @@
 
 ``feature_table`` is the headline: the whole pipeline from the parquet files to the
 feature table, with nothing prepared beforehand. The other queries start from the staged tables,
-as they would in production. Times are the median of two runs after a warm-up run.
+as they would in production. Times are the median of ``$BENCH_RUNS`` runs (one by default) after a warm-up run.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 NAMES = ("career_counts", "rolling_last_n", "opponent_profile_asof", "zscore_skill", "adjusted_rolling", "build_matchups", "elo_dynamic_k",
          "elo_features", "latest_snapshot", "binary_metrics", "segment_report", "style_matrix", "stratified_folds", "fair_consensus",
          "match_contest_pair", "match_gaps", "fuzzy_best_match", "ledger_lock", "attach_odds", "top_factors", "extract_event_list",
