@@ -6,13 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import credentials, decontaminate, mixing, quality, simhash
+from . import credentials, decontaminate, licenses, mixing, pii, quality, simhash, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+WINNOW_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item AS (
+  SELECT item_id, words, CAST(least(10, len(words)) AS BIGINT) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark WHERE item_id IS NOT NULL)
+  WHERE len(words) > 0),
+item_window AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[s + 1:s + n], ' ') AS w
+  FROM (SELECT item_id, words, n, unnest(range(len(words) - n + 1)) AS s FROM item)),
+doc_window AS (
+  SELECT row_id, n, s, array_to_string(words[s + 1:s + n], ' ') AS w
+  FROM (SELECT row_id, words, n, unnest(range(len(words) - n + 1)) AS s FROM doc, (SELECT DISTINCT n FROM item) WHERE len(words) >= n)),
+hit AS (SELECT row_id, item_id, s, d.n FROM doc_window d JOIN item_window i ON d.n = i.n AND d.w = i.w),
+place AS (SELECT row_id, count(DISTINCT pos) AS n_hit FROM (SELECT row_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY row_id),
+found AS (
+  SELECT row_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT row_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN place USING (row_id) LEFT JOIN found USING (row_id)"""
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS h
+  FROM documents),
+w AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS BIGINT) AS cap,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+l AS (
+  SELECT *, row_number() OVER o AS n,
+         CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+           / CAST(sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source NULLS LAST)),
+f AS (SELECT arg_min(level, n) AS level FROM l WHERE cap >= level * weight),
+t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), f.level * weight) AS target FROM l, f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
+c AS (
+  SELECT source, h, CAST(sum(size) AS BIGINT) AS size, CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS BIGINT) AS upto
+  FROM d GROUP BY source, h),
+b AS (
+  SELECT p.source, c.h, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS budget, c.upto, c.size
+  FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source)
+SELECT d.doc_id, d.size, b.source_size, b.target, d.size * (b.passes + CASE
+         WHEN b.upto <= b.budget THEN 1
+         WHEN b.upto - b.size <= b.budget AND b.upto - b.budget < b.budget - (b.upto - b.size) THEN 1 ELSE 0 END) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source AND d.h = b.h"""
+
+
 def query(name: str, sql: str | None = None):
     def add(build):
         QUERIES[name] = build
@@ -43,7 +95,7 @@ def op3_credential_links(spark, folder):
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-@query("op5_winnowing")
+@query("op5_winnowing", WINNOW_SQL)
 def op5_winnowing(spark, folder):
     found = decontaminate.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ","), 256)
@@ -55,7 +107,7 @@ def op7_simhash(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op9_hash_mix")
+@query("op9_hash_mix", MIX_SQL)
 def op9_hash_mix(spark, folder):
     return mixing.mix_table(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -63,3 +115,46 @@ def op9_hash_mix(spark, folder):
 @query("op10_kneser_ney")
 def op10_kneser_ney(spark, folder):
     return quality.classify(table(spark, folder, "documents"), trusted_ids(spark, folder))
+
+
+@query("op1_weak_supervision")
+def op1_weak_supervision(spark, folder):
+    found = pii.find_personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.STRICT))
+    counts = [count_of("spans", k).alias(f"n_{k}") for k in pii.STRICT]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op2_multiple_instance")
+def op2_multiple_instance(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score_toxicity(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+@query("op4_norm_sorted", """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op4_norm_sorted(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+@query("op6_boosted_urls")
+def op6_boosted_urls(spark, folder):
+    return urls.judge(table(spark, folder, "pages"), list(URL_RULES))
+
+
+@query("op8_template_automata")
+def op8_template_automata(spark, folder):
+    return licenses.scan_licenses(table(spark, folder, "documents"))
