@@ -15,7 +15,7 @@ PARTICLES = ("da", "de", "del", "do", "dos", "la", "le", "van", "von")
 
 
 def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1000)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, F.length(word))))
 
 
 def clean_person(c: Column) -> Column:
@@ -24,7 +24,7 @@ def clean_person(c: Column) -> Column:
         out = _capital(w)
         for prefix in ("O'", "Mac", "Mc"):
             n = len(prefix)
-            kept = F.concat(F.lit(prefix), _capital(F.substring(w, n + 1, 1000)))
+            kept = F.concat(F.lit(prefix), _capital(F.substring(w, n + 1, F.length(w))))
             out = F.when(w.startswith(prefix) & (F.length(w) > n), kept).otherwise(out)
         return out
     return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), word), " ")

@@ -127,8 +127,8 @@ def calibrate_platt(oof: DataFrame, source: str = "p") -> Platt:
 
 
 def calibrate_isotonic(oof: DataFrame, source: str = "p") -> Isotonic:
-    """Fitted on rounded scores: equal scores are merged first, so the fit sees at most 10,001 weighted points."""
-    points = oof.groupBy(F.round(source, 4).alias("x")).agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("t"), F.sum("weight").alias("w"))
+    """Equal scores are merged first, as weighted points; the fit is that of the rows."""
+    points = oof.groupBy(F.col(source).alias("x")).agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("t"), F.sum("weight").alias("w"))
     return Isotonic(IsotonicRegression(featuresCol="x", labelCol="t", weightCol="w").fit(points))
 
 
@@ -138,7 +138,7 @@ def calibrate_two_stage(oof: DataFrame, source: str = "p") -> TwoStage:
 
 
 # ---------------------------------------------------------------- search and selection
-def random_search(df: DataFrame, tries: int = 3, folds: int = 3, space: dict | None = None, seed: int = SEED) -> list[tuple[float, dict]]:
+def random_search(df: DataFrame, tries: int = 50, folds: int = 5, space: dict | None = None, seed: int = SEED) -> list[tuple[float, dict]]:
     """Random settings by mean out-of-fold log loss, best first. One small row per setting reaches the driver."""
     draw = random.Random(seed)
     found = []
@@ -150,7 +150,7 @@ def random_search(df: DataFrame, tries: int = 3, folds: int = 3, space: dict | N
     return sorted(found, key=lambda x: x[0])
 
 
-def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "contest_id", repeats: int = 3, seed: int = SEED) -> DataFrame:
+def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "contest_id", repeats: int = 10, seed: int = SEED) -> DataFrame:
     """Rise in log loss when a column is shuffled.
 
     A shuffle gives row n the value held by the row numbered n in another hash order. All

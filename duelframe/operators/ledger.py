@@ -73,13 +73,14 @@ def event_accuracy(contests: DataFrame) -> DataFrame:
 
 
 def stats(events: DataFrame) -> DataFrame:
-    """Totals over locked events, all together and per prediction type."""
+    """Totals over locked events, all together (type ``all``) and per prediction type, a missing one as null."""
     locked = events.filter("locked")
     totals = [F.count(F.lit(1)).alias("events"), F.coalesce(F.sum("overall_correct"), F.lit(0)).alias("correct"),
               F.coalesce(F.sum("overall_total"), F.lit(0)).alias("total")]
-    out = locked.rollup("prediction_type").agg(*totals)
+    out = locked.rollup("prediction_type").agg(*totals, F.grouping_id().alias("_all"))
     share = F.coalesce(F.try_divide(F.col("correct").cast("double"), F.col("total").cast("double")), F.lit(0.0))
-    return out.withColumns({"prediction_type": F.coalesce("prediction_type", F.lit("all")), "accuracy": share})
+    kind = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("prediction_type"))
+    return out.withColumns({"prediction_type": kind, "accuracy": share}).drop("_all")
 
 
 def confidence_counts(contests: DataFrame) -> DataFrame:

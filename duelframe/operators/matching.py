@@ -31,33 +31,36 @@ def _bounds(metric: str, t: float) -> tuple[str, str, str, str]:
     return as_int(longest), as_int(shortest), as_int(pair), as_int(any_partner)
 
 
-def name_candidates(left: DataFrame, right: DataFrame, metric: str = "edit", threshold: float = THRESHOLD) -> DataFrame:
+def name_candidates(left: DataFrame, right: DataFrame, metric: str = "edit", threshold: float = THRESHOLD,
+                    scope: list[str] | None = None) -> DataFrame:
     """Distinct (left_key, right_key) pairs that include every pair scoring at least the threshold.
 
-    Both inputs have one column ``key`` of distinct, non-empty names.
+    Both inputs have one column ``key`` of distinct, non-empty names, and the ``scope`` columns inside
+    which a pair must lie: they are part of the index key, so the work is bounded by the scope.
     """
+    by = scope or []
     longest, shortest, pair, spare = _bounds(metric, threshold)
     cut = "CAST(floor({i} * lb / m) AS INT)"
     first, after = cut.format(i="i"), cut.format(i="(i + 1)")
 
-    index = (right.selectExpr("key AS right_key", "length(key) AS lb")
-             .selectExpr("right_key", "lb", f"{spare.format(n='lb')} + 1 AS m")
+    index = (right.selectExpr(*by, "key AS right_key", "length(key) AS lb")
+             .selectExpr(*by, "right_key", "lb", f"{spare.format(n='lb')} + 1 AS m")
              # Too short to cut: such a name is reached by length alone.
-             .selectExpr("right_key", "lb", "m", "explode(IF(m > lb, array(-1), sequence(0, m - 1))) AS i")
-             .selectExpr("right_key", "lb", "i", f"IF(i < 0, '', substring(right_key, {first} + 1, {after} - {first})) AS part"))
+             .selectExpr(*by, "right_key", "lb", "m", "explode(IF(m > lb, array(-1), sequence(0, m - 1))) AS i")
+             .selectExpr(*by, "right_key", "lb", "i", f"IF(i < 0, '', substring(right_key, {first} + 1, {after} - {first})) AS part"))
 
-    probes = (left.selectExpr("key AS left_key", "length(key) AS la")
-              .selectExpr("left_key", "la", f"explode(sequence(greatest(1, {shortest.format(n='la')}), {longest.format(n='la')})) AS lb")
-              .selectExpr("left_key", "la", "lb", f"{spare.format(n='lb')} + 1 AS m", f"{pair} AS k")
+    probes = (left.selectExpr(*by, "key AS left_key", "length(key) AS la")
+              .selectExpr(*by, "left_key", "la", f"explode(sequence(greatest(1, {shortest.format(n='la')}), {longest.format(n='la')})) AS lb")
+              .selectExpr(*by, "left_key", "la", "lb", f"{spare.format(n='lb')} + 1 AS m", f"{pair} AS k")
               .filter("abs(la - lb) <= k")
-              .selectExpr("left_key", "la", "lb", "m", "k", "explode(IF(m > lb, array(-1), sequence(0, m - 1))) AS i")
+              .selectExpr(*by, "left_key", "la", "lb", "m", "k", "explode(IF(m > lb, array(-1), sequence(0, m - 1))) AS i")
               .selectExpr("*", f"IF(i < 0, 0, {first}) AS at", f"IF(i < 0, 0, {after} - {first}) AS size")
               .selectExpr("*", "explode(IF(i < 0, array(0), sequence(-k, k))) AS shift")
               # Edits before and after the segment together stay within the pair's allowance.
               .filter("i < 0 OR (abs(shift) + abs(la - lb - shift) <= k AND at + shift >= 0 AND at + shift + size <= la)")
-              .selectExpr("left_key", "lb", "i", "IF(i < 0, '', substring(left_key, at + shift + 1, size)) AS part")
+              .selectExpr(*by, "left_key", "lb", "i", "IF(i < 0, '', substring(left_key, at + shift + 1, size)) AS part")
               .distinct())
-    return probes.join(index, ["lb", "i", "part"]).select("left_key", "right_key").distinct()
+    return probes.join(index, [*by, "lb", "i", "part"]).select(*by, "left_key", "right_key").distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, metric: str = "edit", threshold: float = THRESHOLD) -> DataFrame:
@@ -108,11 +111,11 @@ def _pair_candidates(left: DataFrame, right: DataFrame, scope: list[str], metric
     """
     members = lambda df, k: df.select(*scope, F.col(k), F.explode(F.array_distinct(F.array(f"{k[0]}1", f"{k[0]}2"))).alias(f"{k[0]}_key"))
     lm, rm = members(left, "l_id"), members(right, "r_id")
-    ln, rn = lm.select(F.col("l_key").alias("key")).distinct(), rm.select(F.col("r_key").alias("key")).distinct()
-    same = ln.join(rn, "key").select(F.col("key").alias("left_key"), F.col("key").alias("right_key"))
-    close = same.unionByName(name_candidates(ln.filter("key <> ''"), rn.filter("key <> ''"), metric, threshold)).distinct()
+    ln, rn = lm.select(*scope, F.col("l_key").alias("key")).distinct(), rm.select(*scope, F.col("r_key").alias("key")).distinct()
+    same = ln.join(rn, [*scope, "key"]).select(*scope, F.col("key").alias("left_key"), F.col("key").alias("right_key"))
+    close = name_candidates(ln.filter("key <> ''"), rn.filter("key <> ''"), metric, threshold, scope).filter("left_key <> right_key")
     close = close.filter(SCORES[metric](F.col("left_key"), F.col("right_key")) >= threshold)
-    reach = lm.join(close.select(F.col("left_key").alias("l_key"), F.col("right_key").alias("r_key")), "l_key")
+    reach = lm.join(same.unionByName(close).withColumnsRenamed({"left_key": "l_key", "right_key": "r_key"}), [*scope, "l_key"])
     return reach.join(rm, [*scope, "r_key"]).select("l_id", "r_id").distinct()
 
 
@@ -200,18 +203,23 @@ def date_band_join(left: DataFrame, right: DataFrame, days: int = 2) -> DataFram
 
 
 def match_gaps(left: DataFrame, right: DataFrame, matched: DataFrame, scope: list[str], metric: str = "edit",
-               threshold: float = THRESHOLD) -> DataFrame:
-    """Contests without partner on either side; left ones with the closest contest sharing a similar name."""
+               floor: float = 0.6) -> DataFrame:
+    """Contests without partner on either side; left ones with the closest contest of their scope.
+
+    ``floor`` bounds the search: a contest counts as close when one of its names scores that much. It is
+    below the match threshold and stands in the output; without such a contest ``closest`` is null.
+    """
     score = SCORES[metric]
     lone = left.join(matched, "l_id", "left_anti")
     spare = right.join(matched, "r_id", "left_anti").select(F.lit("right").alias("side"), F.col("r_id").alias("contest_id"))
-    near = (_pair_candidates(lone, right, scope, metric, threshold).join(lone.select("l_id", "l1", "l2"), "l_id")
+    near = (_pair_candidates(lone, right, scope, metric, floor).join(lone.select("l_id", "l1", "l2"), "l_id")
             .join(right.select("r_id", "r1", "r2"), "r_id"))
     total = F.greatest(score(F.col("l1"), F.col("r1")) + score(F.col("l2"), F.col("r2")), score(F.col("l1"), F.col("r2")) + score(F.col("l2"), F.col("r1")))
     best = near.withColumn("score", total).groupBy("l_id").agg(F.min_by(F.struct("r_id", "score"), F.struct(-F.col("score"), F.col("r_id"))).alias("b"))
     gaps = lone.select("l_id").join(best, "l_id", "left").select(
         F.lit("left").alias("side"), F.col("l_id").alias("contest_id"), F.col("b.r_id").alias("closest"), F.col("b.score").alias("score"))
-    return gaps.unionByName(spare.withColumns({"closest": F.lit(None).cast("long"), "score": F.lit(None).cast("double")}))
+    out = gaps.unionByName(spare.withColumns({"closest": F.lit(None).cast("long"), "score": F.lit(None).cast("double")}))
+    return out.withColumn("floor", F.lit(floor))
 
 
 def match_gap_reason(left: DataFrame, right: DataFrame, matched: DataFrame, scope: list[str], metric: str = "edit") -> DataFrame:

@@ -8,7 +8,6 @@ from .. import spec
 from ..functions import labels, parsing
 
 # One-hot columns are a schema decision: beyond this many values the column is no category.
-MAX_VALUES = 1000
 # Outcome words that name no winner.
 NO_WINNER = ("draw", "no contest", "nc", "unknown")
 
@@ -109,13 +108,17 @@ def temporal_flags(matchups: DataFrame) -> DataFrame:
         "contest_year": F.year("contest_date"), "contest_month": F.month("contest_date")})
 
 
-def one_hot_dynamic(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """One 0/1 column per value present. The values are read first; more than ``MAX_VALUES`` of them is an error."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_VALUES + 1).collect()
-    if len(found) > MAX_VALUES:
-        raise ValueError(f"{column} has more than {MAX_VALUES} values")
-    values = sorted(r[0] for r in found)
-    return df.withColumns({prefix + v: F.coalesce(F.col(column) == v, F.lit(False)).cast("int") for v in values})
+def one_hot_dynamic(df: DataFrame, column: str, prefix: str, values: list[str] | None = None) -> DataFrame:
+    """One 0/1 column per value. Without ``values`` those present are read first; use :func:`one_hot_long` where they are very many."""
+    if values is None:
+        present = df.select(column).filter(F.col(column).isNotNull()).distinct()
+        values = [r[0] for r in present.toLocalIterator()]
+    return df.select("*", *[F.coalesce(F.col(column) == v, F.lit(False)).cast("int").alias(prefix + v) for v in sorted(values)])
+
+
+def one_hot_long(df: DataFrame, key: str, column: str, prefix: str) -> DataFrame:
+    """The ones of the same encoding as (key, feature) rows: any number of values, nothing is read ahead."""
+    return df.filter(F.col(column).isNotNull()).select(key, F.concat(F.lit(prefix), F.col(column)).alias("feature"))
 
 
 def division_column(name: str) -> str:

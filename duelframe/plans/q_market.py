@@ -32,10 +32,11 @@ def _known(t):
 def _wanted(t):
     n, kind = C("name"), F.pmod("c_custkey", F.lit(5))
     cut = lambda a, b: F.substring(n, a, b)
-    return _known(t).select("c_custkey", F.when(kind == 0, F.upper(n)).when(kind == 1, F.concat(cut(1, 2), cut(4, 99)))
+    rest = lambda a: F.substring(n, a, F.length(n))
+    return _known(t).select("c_custkey", F.when(kind == 0, F.upper(n)).when(kind == 1, F.concat(cut(1, 2), rest(4)))
                             .when(kind == 2, F.concat_ws(" ", F.split(n, " ")[1], F.split(n, " ")[0]))
-                            .when(kind == 3, F.concat(cut(1, 3), F.lit("z"), cut(5, 99)))
-                            .otherwise(F.concat(cut(1, 8), F.lit("-"), cut(9, 99))).alias("name"))
+                            .when(kind == 3, F.concat(cut(1, 3), F.lit("z"), rest(5)))
+                            .otherwise(F.concat(cut(1, 8), F.lit("-"), rest(9))).alias("name"))
 
 
 @query("fuzzy_best_match", sql(f"SELECT k.name, b.match, {real('score')} FROM keyed k LEFT JOIN best b ON b.name = k.name", **_KEYED))
@@ -43,11 +44,6 @@ def _(t):
     return matching.fuzzy_best_match(_wanted(t).select("name"), _known(t).select("name"))
 
 
-@query("fuzzy_best_match_gestalt")
-def _(t):
-    return matching.fuzzy_best_match(_wanted(t).select("name"), _known(t).select("name"), key=names.unicode_key, metric="gestalt")
-
-
 @query("fuzzy_score", sql(f"""
 SELECT c_custkey, {r6(_SIM.format(a='lower(w.name)', b='lower(k.name)'))} AS score FROM wanted w JOIN known k USING (c_custkey)""", known=_KNOWN, wanted=_WANTED))
 def _(t):
@@ -55,12 +51,6 @@ def _(t):
     return both.select("c_custkey", names.edit_similarity(F.lower("other"), F.lower("name")).alias("score"))
 
 
-@query("fuzzy_score_gestalt")
-def _(t):
-    both = _wanted(t).withColumnRenamed("name", "other").join(_known(t), "c_custkey")
-    return both.select("c_custkey", names.gestalt_similarity(F.lower("other"), F.lower("name")).alias("score"))
-
-
 @query("name_join_ci", sql("""
 SELECT w.name, coalesce(k.name, c.name) AS match, CASE WHEN k.name IS NOT NULL THEN 'exact' WHEN c.name IS NOT NULL THEN 'case' ELSE 'none' END AS kind
 FROM (SELECT DISTINCT name FROM wanted) w LEFT JOIN (SELECT DISTINCT name FROM known) k ON k.name = w.name
@@ -91,11 +81,6 @@ def _(t):
     return matching.match_contest_pair(_left(t), _right(t), SCOPE)
 
 
-@query("match_contest_pair_gestalt")
-def _(t):
-    return matching.match_contest_pair(_left(t), _right(t), SCOPE, metric="gestalt")
-
-
 @query("match_both_members", sql("""
 SELECT l_id, coalesce(x, n) AS r_id, CASE WHEN x IS NOT NULL THEN 'exact' ELSE 'both members' END AS kind FROM (
   SELECT l_id, min(CASE WHEN (s11 = 1 AND s22 = 1) OR (s12 = 1 AND s21 = 1) THEN r_id END) AS x,
@@ -123,11 +108,11 @@ def _(t):
 
 
 @query("match_gaps", sql(f"""
-SELECT 'left' AS side, l.contest_id, g.r_id AS closest, {r6('g.score')} AS score FROM led l LEFT JOIN (
+SELECT 'left' AS side, l.contest_id, g.r_id AS closest, {r6('g.score')} AS score, CAST(0.6 AS DOUBLE) AS floor FROM led l LEFT JOIN (
   SELECT l_id, r_id, score FROM (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, r_id) AS rn FROM (
-    SELECT l_id, r_id, greatest(s11 + s22, s12 + s21) AS score FROM date_pairs WHERE greatest(s11, s22, s12, s21) >= 0.85)) WHERE rn = 1) g ON g.l_id = l.contest_id
+    SELECT l_id, r_id, greatest(s11 + s22, s12 + s21) AS score FROM date_pairs WHERE greatest(s11, s22, s12, s21) >= 0.6)) WHERE rn = 1) g ON g.l_id = l.contest_id
 WHERE l.contest_id NOT IN (SELECT l_id FROM best_pairs)
-UNION ALL SELECT 'right', r_id, NULL, NULL FROM other WHERE r_id NOT IN (SELECT r_id FROM best_pairs)"""))
+UNION ALL SELECT 'right', r_id, NULL, NULL, 0.6 FROM other WHERE r_id NOT IN (SELECT r_id FROM best_pairs)"""))
 def _(t):
     return matching.match_gaps(_left(t), _right(t), t.matched, SCOPE)
 
@@ -171,10 +156,10 @@ def _(t):
 SELECT l_event, l_day, r_day, r_event FROM (
   SELECT l.event_id AS l_event, l.event_date AS l_day, r.d AS r_day, r.e AS r_event,
     row_number() OVER (PARTITION BY l.event_id ORDER BY r.d, r.e) AS rn
-  FROM led_events l JOIN (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d, 'ship ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS e FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 1) r
+  FROM led_events l JOIN (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d, 'ship ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS e FROM lineitem) r
     ON abs(date_diff('day', r.d, l.event_date)) <= 2) WHERE rn = 1"""))
 def _(t):
-    ship = t.read("lineitem").filter("l_returnflag = 'R' AND l_quantity = 1").select(C("l_shipdate").cast("date").alias("day")).distinct()
+    ship = t.read("lineitem").select(C("l_shipdate").cast("date").alias("day")).distinct()
     right = ship.withColumn("event", F.concat(F.lit("ship "), C("day").cast("string")))
     return matching.date_band_join(t.ledger_events.select(C("event_id").alias("event"), C("event_date").alias("day")), right)
 
@@ -246,7 +231,7 @@ def _(t):
 
 
 @query("ledger_stats", sql(f"""
-SELECT coalesce(prediction_type, 'all') AS prediction_type, count(*) AS events, CAST(sum(overall_correct) AS BIGINT) AS correct, CAST(sum(overall_total) AS BIGINT) AS total,
+SELECT CASE WHEN grouping(prediction_type) = 1 THEN 'all' ELSE prediction_type END AS prediction_type, count(*) AS events, CAST(sum(overall_correct) AS BIGINT) AS correct, CAST(sum(overall_total) AS BIGINT) AS total,
   {r6('CAST(sum(overall_correct) AS DOUBLE) / nullif(sum(overall_total), 0)')} AS accuracy FROM led_events WHERE locked GROUP BY ROLLUP (prediction_type)"""))
 def _(t):
     return ledger.stats(t.ledger_events)

@@ -41,23 +41,24 @@ SELECT l_orderkey, l_suppkey, min(l_linenumber) AS first_line,
 FROM lineitem GROUP BY l_orderkey, l_suppkey"""
 
 CTE["ranked_sides"] = """
-SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_line, l_suppkey) AS rn FROM line_sides"""
+SELECT *, l_orderkey * 101 + rn - 1 AS contest_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY first_line, l_suppkey) AS rn FROM line_sides)"""
 
 CTE["bouts"] = """
-SELECT r.l_orderkey AS contest_id, CAST(o.o_orderdate AS DATE) AS contest_date,
+SELECT r.contest_id, CAST(o.o_orderdate AS DATE) AS contest_date,
   CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Lightweight' WHEN '2-HIGH' THEN 'Light Heavyweight'
     WHEN '3-MEDIUM' THEN 'Heavyweight' WHEN '4-NOT SPECIFIED' THEN 'Welterweight' WHEN '5-LOW' THEN 'Middleweight' END AS division,
   r.l_suppkey AS red_id, b.l_suppkey AS blue_id,
   'Card ' || CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) || CASE WHEN day(o.o_orderdate) = 1 THEN ' Title Night' ELSE '' END AS event_name,
-  CASE WHEN r.l_orderkey % 53 = 9 THEN 'No Contest' WHEN r.l_orderkey % 41 = 7 THEN 'Draw'
+  CASE WHEN r.contest_id % 53 = 9 THEN 'No Contest' WHEN r.contest_id % 41 = 7 THEN 'Draw'
     WHEN r.cents >= b.cents THEN CAST(r.l_suppkey AS VARCHAR) ELSE CAST(b.l_suppkey AS VARCHAR) END AS winner,
-  CASE WHEN r.l_orderkey % 53 = 9 THEN 'No Contest' WHEN r.l_orderkey % 41 = 7 THEN 'Draw' WHEN r.flag = 'A' THEN 'KO/TKO'
+  CASE WHEN r.contest_id % 53 = 9 THEN 'No Contest' WHEN r.contest_id % 41 = 7 THEN 'Draw' WHEN r.flag = 'A' THEN 'KO/TKO'
     WHEN r.flag = 'R' THEN 'Submission' ELSE 'Decision - ' || (CASE r.cents % 3 WHEN 0 THEN 'Unanimous' WHEN 1 THEN 'Split' ELSE 'Majority' END) END AS method,
-  CASE WHEN r.l_orderkey % 29 <> 0 THEN 1 + r.l_orderkey % 3 END AS round_no, b.cents % 300 AS clock_s,
+  CASE WHEN r.contest_id % 29 <> 0 THEN 1 + r.contest_id % 3 END AS round_no, b.cents % 300 AS clock_s,
   r.landed - b.landed AS margin, CAST(o.o_orderdate AS DATE) >= DATE '1995-07-01' AS detailed,
   r.landed AS red_landed, r.disc AS red_disc, r.tax % 6 AS red_td, r.lines AS red_lines, r.cents AS red_cents,
   b.landed AS blue_landed, b.disc AS blue_disc, b.tax % 6 AS blue_td, b.lines AS blue_lines, b.cents AS blue_cents
-FROM ranked_sides r JOIN ranked_sides b ON r.l_orderkey = b.l_orderkey AND r.rn = 1 AND b.rn = 2
+FROM ranked_sides r JOIN ranked_sides b ON r.l_orderkey = b.l_orderkey AND b.rn = r.rn + 1
 JOIN orders o ON o.o_orderkey = r.l_orderkey"""
 
 

@@ -1,7 +1,8 @@
 """The engine's tables as derived from the driver's parquet files.
 
-Contests come from orders with at least two suppliers: the two suppliers listed first are
-the two sides, the larger revenue wins, and the remaining fields follow from line sums.
+Contests come from orders with at least two suppliers: every supplier meets the next one in
+order of first line, so all lines of such orders count. The larger revenue wins, and the remaining
+fields follow from line sums.
 The text fields have the form a scraped record has, so that parsing is part of every query.
 """
 
@@ -32,6 +33,11 @@ def spread(key: Column) -> Column:
     return (F.pmod(key * 7919, F.lit(1000)) + F.lit(0.5)) / F.lit(1000.0)
 
 
+def pair_id(order: Column, place: Column) -> Column:
+    """Number of a pair of neighbours within an order; unlike for up to 101 pairs an order."""
+    return order * 101 + place - 1
+
+
 _open: dict[tuple, "Tables"] = {}
 
 
@@ -66,21 +72,20 @@ class Tables:
             whole(c("l_discount") * 100).alias("disc"), whole(c("l_tax") * 100).alias("tax"),
             F.sum("l_linenumber").alias("lines"), whole(c("l_extendedprice") * 100).alias("cents"),
             F.min("l_returnflag").alias("flag"))
-        # The rank filter is applied before the shuffle by order, so it moves at most two rows per order and task.
-        first_two = per_side.withColumn("rn", F.row_number().over(
-            Window.partitionBy("l_orderkey").orderBy("first_line", "l_suppkey"))).filter("rn <= 2")
-        pick = lambda n, col, name: F.max(F.when(F.col("rn") == n, F.col(col))).alias(name)
         fields = ("landed", "disc", "tax", "lines", "cents")
-        return first_two.groupBy("l_orderkey").agg(
-            pick(1, "l_suppkey", "red_id"), pick(2, "l_suppkey", "blue_id"), pick(1, "flag", "flag"),
-            *[pick(n, f, f"{s}_{f}") for n, s in ((1, "red"), (2, "blue")) for f in fields]
-        ).filter("blue_id IS NOT NULL").withColumnRenamed("l_orderkey", "contest_id")
+        listed = Window.partitionBy("l_orderkey").orderBy("first_line", "l_suppkey")
+        nxt = F.lead(F.struct("l_suppkey", *fields)).over(listed)
+        met = per_side.withColumns({"_next": nxt, "_place": F.row_number().over(listed)}).filter("_next IS NOT NULL")
+        return met.select(
+            pair_id(c("l_orderkey"), c("_place")).alias("contest_id"), "l_orderkey", c("l_suppkey").alias("red_id"),
+            c("_next.l_suppkey").alias("blue_id"), "flag", *[c(f).alias(f"red_{f}") for f in fields],
+            *[c(f"_next.{f}").alias(f"blue_{f}") for f in fields])
 
     @cached_property
     def contests(self) -> DataFrame:
         c = F.col
         orders = self.read("orders").select(
-            c("o_orderkey").alias("contest_id"), c("o_orderdate").cast("date").alias("contest_date"), "o_orderpriority")
+            c("o_orderkey").alias("l_orderkey"), c("o_orderdate").cast("date").alias("contest_date"), "o_orderpriority")
         division = F.lit(None).cast("string")
         for code, name in DIVISION_OF.items():
             division = F.when(c("o_orderpriority") == code, F.lit(name)).otherwise(division)
@@ -102,7 +107,7 @@ class Tables:
                 F.when(known, (c(f"{s}_lines") % 3).cast("string")).alias(f"{s}_kd"),
                 F.when(known, (F.floor(c(f"{s}_cents") / 7) % 3).cast("string")).alias(f"{s}_sub_att"),
                 F.when(known, clock(c(f"{s}_cents") % 600)).alias(f"{s}_ctrl")]
-        return self._keep(self._pairs.join(orders, "contest_id").select(
+        return self._keep(self._pairs.join(orders, "l_orderkey").select(
             "contest_id", "contest_date", division.alias("division"), "red_id", "blue_id",
             F.concat(F.lit("Card "), c("contest_date").cast("string"),
                      F.when(F.dayofmonth("contest_date") == 1, F.lit(" Title Night")).otherwise(F.lit(""))).alias("event_name"),
@@ -222,7 +227,7 @@ class Tables:
         odd = F.pmod("contest_id", F.lit(2)) == 1
         n1, n2 = person_name(c("red_id")), person_name(c("blue_id"))
         first, second = F.when(odd, n2).otherwise(n1), F.when(odd, n1).otherwise(n2)
-        typo = F.when(c("division") == "Heavyweight", F.concat(F.substring(first, 1, 2), F.substring(first, 4, 100))).otherwise(first)
+        typo = F.when(c("division") == "Heavyweight", F.concat(F.substring(first, 1, 2), F.substring(first, 4, F.length(first)))).otherwise(first)
         line = F.when(c("margin") >= 0, -(110 + 3 * c("margin"))).otherwise(100 - 2 * c("margin"))
         back = F.when(-c("margin") >= 0, -(110 - 3 * c("margin"))).otherwise(100 + 2 * c("margin"))
         sign = F.when(odd, back).otherwise(line).cast("long"), F.when(odd, line).otherwise(back).cast("long")
