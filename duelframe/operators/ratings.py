@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import labels
-from ..session import checkpoint_dir, int_setting
+from ..session import app_folder, int_setting
 from . import history, order_stats
 from .history import Lagged, Prefix
 
@@ -115,7 +115,7 @@ def _windows(games: DataFrame, bound: int) -> list[tuple]:
 
 def _chained(games: DataFrame, bound: int, initial: float, dynamic: bool) -> DataFrame:
     spark = games.sparkSession
-    folder = f"{checkpoint_dir(spark)}/ratings-{uuid.uuid4().hex}"
+    folder = f"{app_folder(spark)}/ratings-{uuid.uuid4().hex}"
     state = None
     for i, (first, last) in enumerate(_windows(games, bound)):
         part = _start(games.filter(F.col("contest_date").between(first, last)), initial)

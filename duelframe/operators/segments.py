@@ -6,9 +6,12 @@ aggregate (combined before the shuffle) then serve any number of cuts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import spec
+from . import order_stats
 from .metrics import predicted, row_log_loss
 
 # Labels and limits of the segment report.
@@ -81,10 +84,11 @@ def era_cut() -> list:
 def with_style(df: DataFrame) -> DataFrame:
     """Striker, Grappler or Balanced per side, against the medians of side one.
 
-    The inputs are five-contest means of small integers and short fractions, so the exact
-    medians hold counts of few distinct values.
+    The medians are exact and need no global sort.
     """
-    med = df.agg(F.median("f1_sig_landed_last_5").alias("_ms"), F.median("f1_td_landed_last_5").alias("_mt"), F.median("f1_sub_rate").alias("_mb"))
+    at = lambda c: F.least(F.floor(F.col(c) * 64), F.lit(order_stats.BUCKETS)).cast("int")
+    med = reduce(lambda a, b: a.join(F.broadcast(b)), [order_stats.exact_median(df, c, at(c)).withColumnRenamed("median", n) for c, n in (
+        ("f1_sig_landed_last_5", "_ms"), ("f1_td_landed_last_5", "_mt"), ("f1_sub_rate", "_mb"))])
 
     def style(s: str) -> Column:
         strikes, tds, subs = (F.coalesce(f"{s}_{c}", F.lit(0.0)) for c in ("sig_landed_last_5", "td_landed_last_5", "sub_rate"))

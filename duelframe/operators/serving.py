@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def card_places(contests: DataFrame) -> DataFrame:
-    """Zero-based place on the card and card size, per event date."""
-    w = Window.partitionBy("contest_date")
-    return contests.withColumns({"position": F.row_number().over(w.orderBy("contest_id")) - 1,
-                                 "card_size": F.count(F.lit(1)).over(w)})
+# Contest numbers to a cell, and contests to a part of an event document.
+CELL, PART = 4_096, 500
+
+
+def card_places(contests: DataFrame, cell: int = CELL) -> DataFrame:
+    """Zero-based place on the card and card size, per event date.
+
+    Places are counted within cells of contest numbers and shifted by the sizes of earlier cells, so a date with very
+    many contests spreads over many tasks.
+    """
+    keys = ["contest_date", "_cell"]
+    tagged = contests.withColumn("_cell", F.floor(F.col("contest_id") / cell))
+    day = Window.partitionBy("contest_date")
+    before = day.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("contest_date").alias("_day"), F.col("_cell").alias("_spot"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(day).alias("card_size"))
+    inside = tagged.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("contest_id")) - 1)
+    met = inside.join(cells, F.col("contest_date").eqNullSafe(F.col("_day")) & (F.col("_cell") == F.col("_spot")))
+    return met.select(*contests.columns, (F.col("_start") + F.col("_i")).cast("int").alias("position"), "card_size")
 
 
 def latest_snapshot(matchups: DataFrame, features: list[str], before: str | None = None) -> DataFrame:
@@ -98,10 +112,11 @@ def score_contests(scored: DataFrame, p: Column) -> DataFrame:
         "win_probability": F.greatest("p1", 1 - F.col("p1")), "confidence": market.confidence(F.col("p1"))})
 
 
-def event_documents(contests: DataFrame) -> DataFrame:
-    """One row per event with its contests in card order. Cards are short by nature; one row holds one card."""
+def event_documents(contests: DataFrame, part: int = PART) -> DataFrame:
+    """One row per event and ``part`` contests, numbered from 0, with the contests in card order."""
     item = F.struct("position", "contest_id", F.round("p1", 3).alias("p1"), F.round(1 - F.col("p1"), 3).alias("p2"), "predicted_winner", "confidence")
-    return contests.groupBy("event_id", F.col("contest_date").alias("event_date")).agg(F.array_sort(F.collect_list(item)).alias("contests"))
+    number = F.floor(F.col("position") / part).alias("part")
+    return contests.groupBy("event_id", F.col("contest_date").alias("event_date"), number).agg(F.array_sort(F.collect_list(item)).alias("contests"))
 
 
 def backfill_factors(predictions: DataFrame, matchups: DataFrame, columns: list[str], force: bool = False, k: int = 5) -> DataFrame:

@@ -261,6 +261,26 @@ def _(t):
     return physical.physical_matchups(_physical(t)).select("contest_id", *_PD, "stance_mismatch")
 
 
+_ALL = [f for f in spec.SIDE_FEATURES if f.diff and f.name not in _INT]
+_ALL_REALS = [p + f.name for f in _ALL for p in ("f1_", "f2_", "diff_")] + _STYLE + _PD
+_FLAGS = [f"{s}_{n}" for s in ("f1", "f2") for n in ("layoff", "new_to_division")] + ["is_title", "contest_year", "contest_month", "diff_momentum"]
+_DIV_COLS = [reshape.division_column(d) for d in spec.DIVISIONS]
+_PHYS_PAIRS = """SELECT a.contest_id, a.height - b.height AS diff_height, a.reach - b.reach AS diff_reach, a.age - b.age AS diff_age,
+  a.reach - a.height AS f1_reach_advantage, b.reach - b.height AS f2_reach_advantage, (a.reach - a.height) - (b.reach - b.height) AS diff_reach_advantage,
+  (a.stance_orthodox = 1 AND b.stance_southpaw = 1) OR (a.stance_southpaw = 1 AND b.stance_orthodox = 1) AS stance_mismatch
+  FROM phys a JOIN phys b ON a.contest_id = b.contest_id AND a.side_id < b.side_id"""
+
+
+@query("feature_table", sql(f"""
+SELECT contest_id, contest_date, event_name, division, f1_id, f2_id, CAST(f1_won AS BIGINT) AS f1_won, f1_detailed, f2_detailed,
+  CAST(stance_mismatch AS BIGINT) AS stance_mismatch, {big(*_INTS, *_FLAGS)}, {real(*_ALL_REALS)},
+  {', '.join(f"CAST(contains(lower(division), '{d.lower().replace(chr(39), chr(39) * 2)}') AS BIGINT) AS {c}" for d, c in zip(spec.DIVISIONS, _DIV_COLS))}
+FROM all_matchups JOIN phys_pairs USING (contest_id)""", phys_pairs=_PHYS_PAIRS, **_PHYS_SQL))
+def _(t):
+    return t.feature_table().select("contest_id", "contest_date", "event_name", "division", "f1_id", "f2_id", "f1_won", "f1_detailed", "f2_detailed",
+                                    "stance_mismatch", *_INTS, *_FLAGS, *_ALL_REALS, *_DIV_COLS)
+
+
 _REC = {"running": f"""SELECT contest_id, contest_date, side_id, n AS n, wins AS w, n - wins AS l FROM counted"""}
 
 
@@ -318,12 +338,12 @@ def _(t):
 _QCOLS = ["contest_id", "winner", "method", "round_text", "red_sig_str"]
 
 
-@query("quality_report", sql("""
-SELECT 'contest_id' AS field, CAST(count(*) FILTER (WHERE contest_id IS NULL) AS BIGINT) AS missing, count(*) AS n_rows, count(*) - count(DISTINCT contest_id) AS duplicates FROM bouts
-UNION ALL SELECT 'winner', CAST(count(*) FILTER (WHERE winner IS NULL) AS BIGINT), count(*), count(*) - count(DISTINCT contest_id) FROM bouts
-UNION ALL SELECT 'method', CAST(count(*) FILTER (WHERE method IS NULL) AS BIGINT), count(*), count(*) - count(DISTINCT contest_id) FROM bouts
-UNION ALL SELECT 'round_text', CAST(count(*) FILTER (WHERE round_no IS NULL) AS BIGINT), count(*), count(*) - count(DISTINCT contest_id) FROM bouts
-UNION ALL SELECT 'red_sig_str', CAST(count(*) FILTER (WHERE NOT detailed) AS BIGINT), count(*), count(*) - count(DISTINCT contest_id) FROM bouts"""))
+_MISSING = {"contest_id": "contest_id IS NULL", "winner": "winner IS NULL", "method": "method IS NULL", "round_text": "round_no IS NULL", "red_sig_str": "NOT detailed"}
+
+
+@query("quality_report", sql(" UNION ALL ".join(
+    f"""SELECT '{c}' AS field, CAST(count(*) FILTER (WHERE {bad}) AS BIGINT) AS missing, count(*) AS n_rows, count(*) - count(DISTINCT contest_id) AS duplicates,
+  round(CAST(count(*) FILTER (WHERE NOT ({bad})) AS DOUBLE) / count(*) + 1e-9, 6) AS present FROM bouts""" for c, bad in _MISSING.items())))
 def _(t):
     return quality.quality_report(t.contests.select(*_QCOLS), "contest_id")
 
@@ -335,9 +355,11 @@ UNION ALL """ + " UNION ALL ".join(
     f"SELECT 'unit_range', '{c}', bad, bad = 0 FROM (SELECT CAST(count(*) FILTER (WHERE {c} < 0 OR {c} > 1) AS BIGINT) AS bad FROM bout_matchups)"
     for c in [f"{s}_{m}" for s in ("f1", "f2") for m in quality.RATES]) + " UNION ALL " + " UNION ALL ".join(
     f"SELECT 'not_negative', '{c}', bad, bad = 0 FROM (SELECT CAST(count(*) FILTER (WHERE {c} < 0) AS BIGINT) AS bad FROM bout_matchups)"
-    for c in ("f1_n_prior", "f2_n_prior", "f1_wins_prior", "f2_wins_prior"))))
+    for c in ("f1_n_prior", "f2_n_prior", "f1_wins_prior", "f2_wins_prior")) + " UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'skill_range', '{c}', bad, bad = 0 FROM (SELECT CAST(count(*) FILTER (WHERE {c} < 0.4 OR {c} > 1.6) AS BIGINT) AS bad FROM all_matchups)"
+    for c in ("f1_avg_opp_quality", "f2_avg_opp_quality"))))
 def _(t):
-    return quality.feature_validation(t.matchups)
+    return quality.feature_validation(t.feature_table())
 
 
 @query("leakage_check", sql("""

@@ -373,10 +373,10 @@ def _(t):
 
 
 @query("event_predictions", sql(f"""
-SELECT event_id, contest_date AS event_date, count(*) AS contests, string_agg(CAST(contest_id AS VARCHAR), ',' ORDER BY position) AS card FROM led GROUP BY 1, 2"""))
+SELECT event_id, contest_date AS event_date, CAST(position // 5 AS BIGINT) AS part, count(*) AS contests, string_agg(CAST(contest_id AS VARCHAR), ',' ORDER BY position) AS card FROM led GROUP BY 1, 2, 3"""))
 def _(t):
-    docs = serving.event_documents(t.ledger_contests)
-    return docs.select("event_id", "event_date", F.size("contests").cast("long").alias("contests"),
+    docs = serving.event_documents(t.ledger_contests, 5)
+    return docs.select("event_id", "event_date", "part", F.size("contests").cast("long").alias("contests"),
                        F.array_join(F.transform("contests", lambda x: x["contest_id"].cast("string")), ",").alias("card"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import spec
 from ..functions import parsing
 from ..operators import serving
-from ..session import checkpoint_dir
+from ..session import app_folder
 from ..sources import pages, readers, writers
 from .q_market import _FAC, _FACSQL
 from .registry import big, query, r6, real
@@ -20,7 +20,7 @@ C = F.col
 
 
 def _folder(t, name: str) -> str:
-    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{app_folder(t.spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 @query("read_contests", sql(f"""
@@ -104,13 +104,15 @@ def _(t):
 
 
 @query("write_event_docs", sql(f"""
-SELECT event_id, CAST(contest_date AS VARCHAR) AS event_date, count(*) AS contests, string_agg(CAST(contest_id AS VARCHAR), ',' ORDER BY position) AS card FROM led GROUP BY 1, 2"""))
+SELECT event_id, CAST(contest_date AS VARCHAR) AS event_date, CAST(position // 500 AS BIGINT) AS part, count(*) AS contests,
+  string_agg(CAST(contest_id AS VARCHAR), ',' ORDER BY position) AS card, round(sum(round(p1 + 1e-9, 3)) + 1e-9, 6) AS p1 FROM led GROUP BY 1, 2, 3"""))
 def _(t):
     path = _folder(t, "event_docs")
     writers.write_event_docs(serving.event_documents(t.ledger_contests), path)
-    docs = t.spark.read.schema("event_id string, event_date string, contests array<struct<position:int,contest_id:long,p1:double>>").json(path)
-    return docs.select("event_id", "event_date", F.size("contests").cast("long").alias("contests"),
-                       F.array_join(F.transform("contests", lambda x: x["contest_id"].cast("string")), ",").alias("card"))
+    docs = t.spark.read.schema("event_id string, event_date string, part long, contests array<struct<position:int,contest_id:long,p1:double>>").json(path)
+    return docs.select("event_id", "event_date", "part", F.size("contests").cast("long").alias("contests"),
+                       F.array_join(F.transform("contests", lambda x: x["contest_id"].cast("string")), ",").alias("card"),
+                       F.aggregate("contests", F.lit(0.0), lambda s, x: s + x["p1"]).alias("p1"))
 
 
 @query("save_imputation_tables", sql(f"SELECT division, {real('med_sig_landed', 'med_sig_absorbed', 'med_td_landed', 'med_duration')} FROM med"))
@@ -137,10 +139,12 @@ def _(t):
     return readers.read_model_registry(t.spark, path).select("version", C("description").cast("long").alias("year"), "test_accuracy", "is_current")
 
 
-@query("refresh_since", sql("SELECT contest_id, contest_date FROM bouts"))
+@query("refresh_since", sql("""
+SELECT contest_id, contest_date FROM bouts WHERE contest_date < DATE '2001-03-01' AND contest_id % 5 <> 0
+  OR contest_date >= (SELECT max(contest_date) FROM bouts WHERE contest_date < DATE '2001-03-01' AND contest_id % 5 <> 0)"""))
 def _(t):
     base = t.contests.select("contest_id", "contest_date")
-    return readers.refresh_since(base.filter(C("contest_date") < F.lit("2001-03-01").cast("date")), base)
+    return readers.refresh_since(base.filter((C("contest_date") < F.lit("2001-03-01").cast("date")) & (C("contest_id") % 5 != 0)), base)
 
 
 # ---------------------------------------------------------------- pages

@@ -185,8 +185,8 @@ SELECT * EXCLUDE ({', '.join(spec.DEBUT)}, {', '.join(f'{m}_last_{w}' for w in s
 FROM (SELECT c.*, med_sig_landed, med_sig_absorbed, med_td_landed, med_duration FROM bout_career c JOIN med USING (division))"""
 
 
-def _matchups() -> str:
-    feats = [f for f in spec.SIDE_FEATURES if f.group in ("career", "rolling")]
+def _matchups(table: str, *groups: str) -> str:
+    feats = [f for f in spec.SIDE_FEATURES if f.group in groups]
     cols = []
     for f in feats:
         cols += [f"a.{f.name} AS f1_{f.name}", f"b.{f.name} AS f2_{f.name}"]
@@ -194,20 +194,26 @@ def _matchups() -> str:
             cols.append(f"a.{f.name} - b.{f.name} AS diff_{f.name}")
     return f"""SELECT a.contest_id, a.contest_date, a.event_name, a.division, a.method, a.round_no, a.duration_s,
   a.side_id AS f1_id, b.side_id AS f2_id, a.won AS f1_won, {', '.join(cols)}
-FROM bout_imputed a JOIN bout_imputed b ON a.contest_id = b.contest_id AND a.side_id < b.side_id"""
+FROM {table} a JOIN {table} b ON a.contest_id = b.contest_id AND a.side_id < b.side_id"""
 
 
-CTE["pairs"] = _matchups()
 _VOL = "{s}_sig_landed_last_5 / nullif({s}_duration_last_5 / 60 + 0.01, 0)"
 _GRAP = "{s}_td_landed_last_5 / nullif({s}_sig_landed_last_5 + 0.01, 0)"
-CTE["bout_matchups"] = "SELECT *, " + ", ".join(
+_STYLED = "SELECT *, " + ", ".join(
     f"{_VOL.format(s=s)} AS {s}_strike_volume, {_GRAP.format(s=s)} AS {s}_grappling, "
     f"CAST({s}_n_prior AS DOUBLE) / (f1_n_prior + f2_n_prior + 1) AS {s}_experience_ratio, "
     f"CASE WHEN {s}_days_since_last > 180 THEN 1 ELSE 0 END AS {s}_layoff, "
     f"CASE WHEN {s}_division_prior <= 2 THEN 1 ELSE 0 END AS {s}_new_to_division" for s in ("f1", "f2")) + f""",
   {_VOL.format(s='f1')} - {_VOL.format(s='f2')} AS diff_strike_volume, {_GRAP.format(s='f1')} - {_GRAP.format(s='f2')} AS diff_grappling,
   diff_win_streak - diff_loss_streak AS diff_momentum, CASE WHEN event_name LIKE '%Title%' THEN 1 ELSE 0 END AS is_title,
-  CAST(year(contest_date) AS INTEGER) AS contest_year, CAST(month(contest_date) AS INTEGER) AS contest_month FROM pairs"""
+  CAST(year(contest_date) AS INTEGER) AS contest_year, CAST(month(contest_date) AS INTEGER) AS contest_month FROM {{pairs}}"""
+
+CTE["pairs"] = _matchups("bout_imputed", "career", "rolling")
+CTE["bout_matchups"] = _STYLED.format(pairs="pairs")
+CTE["bout_full"] = "SELECT i.*, " + ", ".join(f"a.{n}" for n in spec.names("adjusted")) + """
+FROM bout_imputed i JOIN bout_adjusted a ON a.contest_id = i.contest_id AND a.side_id = i.side_id"""
+CTE["all_pairs"] = _matchups("bout_full", "career", "rolling", "adjusted")
+CTE["all_matchups"] = _STYLED.format(pairs="all_pairs")
 
 CTE["people"] = f"""
 SELECT s_suppkey AS side_id, {name_sql('s_suppkey')} AS name,

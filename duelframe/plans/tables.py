@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import market as odds_math, names
 from ..session import stage
-from ..operators import career, history, imputation, opponents, ratings, reshape
+from ..operators import career, history, imputation, opponents, physical, ratings, reshape, serving
 
 DIVISION_OF = {"1-URGENT": "Lightweight", "2-HIGH": "Light Heavyweight", "3-MEDIUM": "Heavyweight",
                "4-NOT SPECIFIED": "Welterweight", "5-LOW": "Middleweight"}
@@ -42,8 +42,9 @@ _open: dict[tuple, "Tables"] = {}
 
 
 def tables(spark: SparkSession, folder: str) -> "Tables":
-    """The staged tables of this application and folder."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The staged tables of this application and folder, as long as the folder lists the same files."""
+    files = [f for n in ("lineitem", "orders", "supplier") for f in spark.read.parquet(f"{folder}/{n}.parquet").inputFiles()]
+    key = (spark.sparkContext.applicationId, folder, *sorted(files))
     if key not in _open:
         _open[key] = Tables(spark, folder)
     return _open[key]
@@ -179,14 +180,22 @@ class Tables:
         return self._keep(ratings.elo_ratings(self.games), "rated")
 
     def feature_table(self) -> DataFrame:
-        """The full feature table: career, rolling, adjusted, style and temporal features of both sides.
+        """The full feature table: career, rolling, adjusted, style, temporal, physical and division features of both sides.
 
         Only the side table and the profiled sides are staged (each is read twice). From there
         one shuffle by competitor serves every window and one by contest pairs the sides.
         """
         adjusted = opponents.adjusted_features(opponents.adjust_by_opponent(self.skilled), self.chunks)
         both = career.career_features(adjusted, self.chunks, self.division_chunks)
-        return reshape.temporal_flags(reshape.build_matchups(imputation.impute_early_career(both, self.medians)))
+        pairs = reshape.temporal_flags(reshape.build_matchups(imputation.impute_early_career(both, self.medians)))
+        # The wide rows are written before the join: otherwise the optimizer derives constraints through every column.
+        return reshape.one_hot_fixed(stage(pairs, "pairs").join(self.physical_pairs.drop("contest_date", "f1_id", "f2_id"), "contest_id"))
+
+    @property
+    def physical_pairs(self) -> DataFrame:
+        cols = self.sides.select("contest_id", "contest_date", "division", "side_id")
+        medians = imputation.physical_medians(self.sides, self.competitors)
+        return physical.physical_matchups(imputation.impute_physical(cols, self.competitors, medians))
 
     # ---------------------------------------------------------------- second-source records
     @cached_property
@@ -198,8 +207,7 @@ class Tables:
         past = c("contest_date") < F.lit(CUTOFF).cast("date")
         won = (F.when(c("winner") == c("red_id").cast("string"), n1).when(c("winner") == c("blue_id").cast("string"), n2)
                .otherwise(c("winner")))
-        placed = self.contests.withColumn("position", F.row_number().over(
-            Window.partitionBy("contest_date").orderBy("contest_id")) - 1)
+        placed = serving.card_places(self.contests)
         return self._keep(placed.select(
             "contest_id", names.slug(c("event_name")).alias("event_id"), "contest_date", "position", "division",
             n1.alias("name_1"), n2.alias("name_2"), p.alias("p1"), called.alias("predicted_winner"),
@@ -270,7 +278,6 @@ class Tables:
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        from ..operators import serving
         return serving.latest_snapshot(self.matchups, SNAPSHOT_FEATURES)
 
 

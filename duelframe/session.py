@@ -33,6 +33,17 @@ def int_setting(spark: SparkSession, key: str, default: int) -> int:
 
 
 _local_folders: dict[str, str] = {}
+_kept: set[str] = set()
+
+
+def app_folder(spark: SparkSession) -> str:
+    """This application's own part of the checkpoint folder; it goes when the application ends."""
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _kept:
+        _kept.add(folder)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -55,6 +66,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     prune columns, and a lost executor costs a re-read instead of a recomputation.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+    path = f"{app_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
