@@ -60,6 +60,22 @@ def serving_features(upcoming: DataFrame, snapshot: DataFrame, features: list[st
     return joined.select(*upcoming.columns, F.col("last_date").isNotNull().alias("known"), *[c.alias(f) for f, c in out.items()])
 
 
+def resolve_names(announced: DataFrame, competitors: DataFrame, metric: str = "edit") -> DataFrame:
+    """Announced contests (contest_id, contest_date, name_1, name_2) to one row per side with its competitor.
+
+    A name is looked up exactly, then by the best similar name, and otherwise stays unknown: ``how`` is ``exact``,
+    ``similar`` or ``debut``, and ``side_id`` null for a debut. Of competitors with one name the smallest id counts.
+    """
+    from . import matching
+    side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"name_{r}").alias("name"))
+    rows = announced.select("contest_id", "contest_date", F.explode(F.array(side(1), side(2))).alias("s")).select("contest_id", "contest_date", "s.*")
+    known = competitors.groupBy("name").agg(F.min("side_id").alias("side_id"))
+    best = matching.fuzzy_best_match(rows.select("name"), known.select("name"), metric=metric)
+    found = best.join(known.withColumnRenamed("name", "match"), "match", "left")
+    how = F.when(F.col("score") >= 1, "exact").when(F.col("score").isNotNull(), "similar").otherwise("debut")
+    return rows.join(found.select("name", "side_id", how.alias("how")), "name", "left").withColumn("how", F.coalesce("how", F.lit("debut")))
+
+
 def serving_matchup(sides: DataFrame, features: list[str], model_columns: list[str] | None = None) -> DataFrame:
     """One row per upcoming contest with f1, f2 and diff columns; missing model columns are zero.
 

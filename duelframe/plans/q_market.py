@@ -335,6 +335,28 @@ def _(t):
 _SM = [f"diff_{f}" for f in SNAPSHOT_FEATURES]
 
 
+_NAMED = dict(
+    asked="""SELECT r_id AS contest_id, (SELECT max(contest_date) + 1 FROM bouts) AS contest_date, 1 AS role, CASE WHEN r_id % 13 = 0 THEN reverse(name_1) ELSE name_1 END AS name FROM other
+  UNION ALL SELECT r_id, (SELECT max(contest_date) + 1 FROM bouts), 2, name_2 FROM other""",
+    person="SELECT name, lower(name) AS k, min(side_id) AS side_id FROM people GROUP BY 1, 2",
+    spelt="SELECT DISTINCT name, trim(lower(name)) AS k FROM asked",
+    close=f"SELECT a.name, b.side_id, b.name AS match, {_SIM.format(a='a.k', b='b.k')} AS score FROM spelt a, person b",
+    resolved="SELECT name, side_id, CASE WHEN score >= 1 THEN 'exact' ELSE 'similar' END AS how FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, match) AS rn FROM close WHERE score >= 0.85) WHERE rn = 1",
+    who="SELECT q.contest_id, q.contest_date, q.role, q.name, r.side_id, coalesce(r.how, 'debut') AS how FROM asked q LEFT JOIN resolved r ON r.name = q.name")
+
+
+@query("serving_by_name", sql(f"""
+SELECT contest_id, CAST(role AS BIGINT) AS role, name, side_id, how, known, {real(*SNAPSHOT_FEATURES)} FROM (
+  SELECT u.contest_id, u.role, u.name, u.side_id, u.how, s.side_id IS NOT NULL AS known, {_FEATSQL} FROM who u LEFT JOIN snap s ON s.side_id = u.side_id)""", **_NAMED))
+def _(t):
+    """The second source's contests announced again, some names misspelt and some unknown."""
+    last = t.contests.agg(F.date_add(F.max("contest_date"), 1).alias("contest_date"))
+    name = F.when(C("r_id") % 13 == 0, F.reverse("name_1")).otherwise(C("name_1"))
+    asked = t.other_source.select(C("r_id").alias("contest_id"), name.alias("name_1"), "name_2").join(F.broadcast(last))
+    sides = serving.resolve_names(asked, t.competitors)
+    return serving.serving_features(sides, t.snapshot, SNAPSHOT_FEATURES).drop("contest_date")
+
+
 @query("serving_matchup", sql(f"""
 SELECT a.contest_id, a.side_id AS f1_id, b.side_id AS f2_id, {', '.join(f"{r6(f'a.{f} - b.{f}')} AS diff_{f}" for f in SNAPSHOT_FEATURES)},
   {r6('a.n_prior / (a.n_prior + b.n_prior + 1)')} AS f1_experience_ratio, {r6('a.win_streak - a.loss_streak - b.win_streak + b.loss_streak')} AS diff_momentum, {r6('0')} AS extra

@@ -31,7 +31,7 @@ def split(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 
 def small_gbt():
-    return tr.gbt(maxIter=5, maxDepth=3)
+    return tr.gbt(maxIter=20, maxDepth=3)
 
 
 @cache
@@ -52,7 +52,7 @@ def _report(scored: DataFrame, name: str) -> DataFrame:
 def _(t):
     train, test = split(t)
     flagged = train.withColumn("held_out", C("fold") == 0)
-    stopped = tr.gbt_early_stop(maxIter=5).fit(flagged)
+    stopped = tr.gbt_early_stop(maxIter=20).fit(flagged)
     return _report(tr.score(main_model(t), test), "gbt").unionByName(_report(tr.score(stopped, test), "gbt early stop"))
 
 
@@ -64,7 +64,7 @@ def _(t):
 
 @query("random_search")
 def _(t):
-    found = tr.random_search(split(t)[0], tries=2, folds=2, space={"maxDepth": (2, 3), "maxIter": (3,), "stepSize": (0.1, 0.2)})
+    found = tr.random_search(split(t)[0], tries=3, folds=5, space={"maxDepth": (2, 3, 4), "maxIter": (10, 20), "stepSize": (0.05, 0.1, 0.2)})
     rows = [(i, float(loss), str(sorted(pick.items()))) for i, (loss, pick) in enumerate(found)]
     return t.spark.createDataFrame(rows, "rank int, log_loss double, settings string")
 
@@ -72,7 +72,7 @@ def _(t):
 @query("stacking")
 def _(t):
     train, test = split(t)
-    stack = tr.stacking(train, [lambda: tr.gbt(maxIter=3, maxDepth=2), tr.logistic], folds=5)
+    stack = tr.stacking(train, [lambda: tr.gbt(maxIter=10, maxDepth=2), lambda: tr.gbt(maxIter=5, maxDepth=4), tr.logistic], folds=5)
     return _report(stack.transform_scores(test), "stack")
 
 
@@ -107,12 +107,12 @@ def _(t):
 
 @query("permutation_importance")
 def _(t):
-    return tr.permutation_importance(main_model(t), split(t)[1], COLUMNS, repeats=2)
+    return tr.permutation_importance(main_model(t), split(t)[1], COLUMNS)
 
 
 @query("top_features")
 def _(t):
-    return tr.top_features(tr.permutation_importance(main_model(t), split(t)[1], COLUMNS, repeats=1), 5)
+    return tr.top_features(tr.permutation_importance(main_model(t), split(t)[1], COLUMNS), 5)
 
 
 @query("single_feature_baselines")

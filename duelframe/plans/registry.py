@@ -11,10 +11,12 @@ from .tables import Tables, tables
 NUDGE = 1e-9
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):
+        BUILDS[name] = build
         QUERIES[name] = lambda spark, folder: plain_types(build(tables(spark, folder)))
         if sql is not None:
             ORACLES[name] = sql

@@ -57,6 +57,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str, staged: bool | tuple[str, ...] = True):
         self.spark, self.folder, self.staged = spark, folder, staged
 
+    @classmethod
+    def sharing(cls, other: "Tables", names: tuple[str, ...]) -> "Tables":
+        """Fresh tables over the named staged ones of ``other``; everything else is built anew."""
+        out = cls(other.spark, other.folder, staged=names)
+        out.__dict__.update({n: other.__dict__[n] for n in names})
+        return out
+
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         wanted = self.staged if isinstance(self.staged, bool) else name in self.staged
         return stage(df, name) if wanted else df
