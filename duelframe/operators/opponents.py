@@ -17,7 +17,7 @@ def _cap(value: Column, scale: float) -> Column:
 
 
 def own_profiles(sides: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """Raw skill scores of each side from contests on strictly earlier dates."""
+    """Raw skill scores of each side from contests on strictly earlier dates, and the number of its earlier rows."""
     seen = lambda c: F.when(F.col("detailed"), F.col(c))
     sums = {"_all": F.lit(1), "_won": F.col("won"), "_time": F.col("duration_s"),
             "_dec": labels.is_decision(F.col("method")).cast("int"),
@@ -50,7 +50,8 @@ def own_profiles(sides: DataFrame, chunks: DataFrame | None = None) -> DataFrame
         F.when(enough & (seen_n > 0), striking).alias("own_striking"),
         F.when(enough & (seen_n > 0), grappling).alias("own_grappling"),
         F.when(enough, durability).alias("own_durability"),
-        F.when(n > 0, quality).alias("own_quality"), n.cast("long").alias("own_earlier"))
+        F.when(n > 0, quality).alias("own_quality"), n.cast("long").alias("own_earlier"),
+        F.coalesce("_all", F.lit(0)).alias("n_before"))
 
 
 def opponent_profiles(sides: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -59,8 +60,8 @@ def opponent_profiles(sides: DataFrame, chunks: DataFrame | None = None) -> Data
     own = [f"own_{s}" for s in spec.SKILLS] + ["own_earlier"]
     w = Window.partitionBy("contest_id").orderBy("side_id")
     other = F.coalesce(F.lead(F.struct(*own)).over(w), F.lag(F.struct(*own)).over(w))
-    swapped = scored.select(*sides.columns, other.alias("_o"))
-    return swapped.select(*sides.columns, *[F.col("_o")["own_" + s].alias("raw_opp_" + s) for s in spec.SKILLS],
+    swapped = scored.select(*sides.columns, "n_before", other.alias("_o"))
+    return swapped.select(*sides.columns, "n_before", *[F.col("_o")["own_" + s].alias("raw_opp_" + s) for s in spec.SKILLS],
                           F.coalesce(F.col("_o")["own_earlier"], F.lit(0)).alias("opp_earlier"))
 
 

@@ -167,8 +167,8 @@ class Tables:
 
     @cached_property
     def medians(self) -> DataFrame:
-        # From the unstaged plan: only the counter and four columns survive pruning.
-        return imputation.division_medians(career.career_features(self.sides, self.chunks))
+        # The profile pass has counted each side's earlier rows already.
+        return imputation.division_medians(self.profiled.withColumnRenamed("n_before", "n_prior"))
 
     @cached_property
     def imputed(self) -> DataFrame:
