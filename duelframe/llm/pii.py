@@ -14,7 +14,6 @@ model and nothing is added. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 
@@ -31,11 +30,11 @@ WEAK = ("email_text", "phone_local", "card_like", "iban", "national_id", "name")
 KINDS = (*STRICT, *WEAK)
 
 # The patterns of the strict kinds.
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DIGIT = re.compile("[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # Patterns of the weak kinds.
 LOOSE = {
@@ -89,6 +88,8 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
             out.append(("email", start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
+    if not DIGIT.search(text):
+        return out
     out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         number = digits(m.group()) if m.end() - m.start() < 64 else ""
@@ -102,7 +103,11 @@ def weak_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
     """Matches of the loose patterns that overlap nothing found before, in order of kind."""
     held = sorted((a, b) for _, a, b in taken)
     out = []
+    marks = {"email_text": "dot" in text or "DOT" in text, "name": True}
+    number = DIGIT.search(text) is not None  # every other pattern needs one
     for kind, pattern in LOOSE.items():
+        if not marks.get(kind, number):
+            continue
         found = [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
         if not found:
             continue
@@ -212,6 +217,19 @@ def learn(patterns: dict[str, int], rounds: int = 50) -> SpanModel:
     return SpanModel(reliability, dict(zip(keys, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist())))
 
 
+def _judge(accept, threshold: float, carry: list[str]):
+    """Strict spans, and weak ones whose pattern the classifier accepts."""
+    span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
+
+    def run(batches):
+        for batch in batches:
+            out = [[{"kind": s["kind"], "start": s["start"], "end": s["end"], "p": p} for s in spans
+                    for p in (1.0 if s["kind"] in STRICT else accept.value.get(s["pattern"], 0.0),) if p >= threshold]
+                   for spans in column(batch, "found").to_pylist()]
+            yield pa.record_batch([*[column(batch, c) for c in carry], pa.array(out, pa.list_(span))], names=[*carry, "spans"])
+    return run
+
+
 def find_personal_data(docs: DataFrame, carry: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """``carry`` (doc_id) and ``spans``, an array of (kind, start, end, probability), strict ones with 1, ordered by kind and start."""
     carry = carry or ["doc_id"]
@@ -220,17 +238,5 @@ def find_personal_data(docs: DataFrame, carry: list[str] | None = None, threshol
     found = stage(docs.select(*carry, "text").mapInArrow(_candidates(carry), schema), "pii")
     counted = found.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").count()
     model = learn({r.pattern: r["count"] for r in counted.collect()})  # at most kinds * 3 ** labelers * 4 rows
-    accept = docs.sparkSession.createDataFrame(
-        [(p, q) for p, q in model.accept.items()] or [("", 0.0)], "pattern string, p double")
-    table = F.broadcast(accept.agg(F.map_from_entries(F.collect_list(F.struct("pattern", "p"))).alias("accept")))
-    spans = F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                        F.when(s["kind"].isin(*STRICT), F.lit(1.0)).otherwise(F.coalesce(F.col("accept")[s["pattern"]], F.lit(0.0))).alias("p")))
-    return found.crossJoin(table).select(*carry, F.filter(spans, lambda s: s["p"] >= threshold).alias("spans"))
-
-
-def listed(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
-
-
-def base_digest(text: str) -> str:
-    return hashlib.sha256(listed(strict_spans(text)).encode()).hexdigest()
+    accept = docs.sparkSession.sparkContext.broadcast(model.accept)
+    return found.mapInArrow(_judge(accept, threshold, carry), f"{kinds}, spans array<struct<kind:string,start:int,end:int,p:double>>")
