@@ -7,6 +7,9 @@ lengths bounds each score (Cauchy-Schwarz), and only candidates whose bound reac
 are scored exactly, in integers. A block stops once length times length falls below every query's bound. The longest
 block goes first and gives the other blocks their starting bounds. Scores equal to the bound are kept, so ties are exact.
 
+Up to QUERY_BLOCKS blocks of queries are broadcast. More of them are dealt into slots and candidates into parts, and each
+(slot, part) of the grid meets in a join on that pair of numbers, without pairs of blocks whose lengths rule out a hit.
+
 The rotation is fitted on at most FIT_ROWS vectors; it changes how much is pruned, never the result.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. Rows with
@@ -16,8 +19,6 @@ of the same number of components only. Fewer candidates than k give them all.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,8 +32,8 @@ HEAD = 16
 FIT_ROWS = 4_096
 BLOCK, QUERY_BLOCK = 8_192, 256
 STEP = 2_048
-# Query blocks that are broadcast at once; more are taken in turns.
-QUERY_BLOCKS = 64
+# Query blocks that are broadcast, or that share a slot; candidate blocks of a part.
+QUERY_BLOCKS, PART_BLOCKS = 64, 256
 PACK = "block long, dim int, n int, top double, ids binary, exact binary, turned binary, length binary, rest binary"
 
 
@@ -145,24 +146,51 @@ def best(queries: Block, block: Block, k: int, floor: np.ndarray) -> list[tuple[
     return list(zip(ids, scores))
 
 
+def _starter(first, k: int):
+    """Query blocks with the k-th best score of each query in the longest block, and the least of them."""
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                q = Block(row)
+                found = best(q, first.value[q.dim], k, np.full(len(q.ids), -np.inf))
+                floor = np.array([s[-1] if len(s) == k else -np.inf for _, s in found], float)
+                row |= {"floor": floor.tobytes(), "least": float(floor.min())}
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA.append(pa.field("floor", pa.binary())).append(pa.field("least", pa.float64())))
+    return run
+
+
+def _hits(queries: Block, floor: np.ndarray, block: Block, k: int) -> pa.RecordBatch:
+    found = best(queries, block, k, floor)
+    ids = np.repeat(queries.ids, [len(i) for i, _ in found])
+    flat = lambda n: np.concatenate([x[n] for x in found]) if found else np.zeros(0, np.int64)
+    return pa.record_batch({"query_id": pa.array(ids), "vec_id": pa.array(flat(0)), "score": pa.array(flat(1))})
+
+
 def _searcher(shared, k: int):
     """Meets each block of candidates with all broadcast query blocks of the same number of components."""
     def run(batches):
-        queries = [(Block(row), floor) for row, floor in shared.value]
+        queries = [(Block(row), np.frombuffer(row["floor"], float)) for row in shared.value]
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                out = {"query_id": [], "vec_id": [], "score": []}
                 for q, floor in queries:
                     if q.dim == block.dim:
-                        for i, (ids, scores) in zip(q.ids.tolist(), best(q, block, k, floor)):
-                            out["query_id"] += [i] * len(ids)
-                            out["vec_id"] += ids.tolist()
-                            out["score"] += scores.tolist()
-                yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in out.items()})
+                        yield _hits(q, floor, block, k)
+    return run
+
+
+def _grid(k: int):
+    """Rows that hold a block of candidates and, under ``q``, a block of queries."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                yield _hits(Block(row["q"]), np.frombuffer(row["q"]["floor"], float), Block(row), k)
     return run
 
 
+PACKED = SCHEMA.names
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -181,17 +209,18 @@ def top_k(table: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     blocks = stage(long_first.select("vec_id", "v").mapInArrow(_packer(basis, BLOCK), PACK), "blocks")
     asked = rows.where(is_query).select("vec_id", "v")
     packed = stage(asked.coalesce(max(1, parts // 64)).mapInArrow(_packer(basis, QUERY_BLOCK), PACK), "query_blocks")
-    count = packed.count()
-    turns = max(1, -(-count // QUERY_BLOCKS))
-    found = []
-    for turn in range(turns):
-        mine = packed if turns == 1 else packed.where(F.pmod(F.xxhash64("block", "dim"), F.lit(turns)) == turn)
-        held = mine.collect()  # about QUERY_BLOCKS blocks of QUERY_BLOCK rows
-        first = {d: blocks.where(F.col("dim") == d).orderBy(F.desc("top"), "block").first() for d in {r.dim for r in held}}
-        shared = []
-        for r in held:
-            q = Block(r.asDict())
-            start = best(q, Block(first[r.dim].asDict()), k, np.full(len(q.ids), -np.inf))
-            shared.append((r.asDict(), np.array([s[-1] if len(s) == k else -np.inf for _, s in start], float)))
-        found.append(blocks.mapInArrow(_searcher(context.broadcast(shared), k), FOUND))
-    return ranked(reduce(DataFrame.unionByName, found), k).select("query_id", "rank", "vec_id", "score")
+    dims = [r.dim for r in packed.select("dim").distinct().collect()]
+    longest = {d: Block(blocks.where(F.col("dim") == d).orderBy(F.desc("top"), "block").first().asDict()) for d in dims}
+    asked = stage(packed.mapInArrow(_starter(context.broadcast(longest), k), PACK + ", floor binary, least double"), "asked")
+    count = asked.count()
+    if count <= QUERY_BLOCKS:
+        found = blocks.mapInArrow(_searcher(context.broadcast([r.asDict() for r in asked.collect()]), k), FOUND)
+    else:
+        slots, cells = -(-count // QUERY_BLOCKS), -(-blocks.count() // PART_BLOCKS)
+        deal = lambda n: F.pmod(F.xxhash64("block", "dim"), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = asked.select(F.struct(*asked.columns).alias("q"), F.col("dim").alias("q_dim"), deal(slots).alias("q_slot"), each(cells).alias("q_cell"))
+        c = blocks.select("*", deal(cells).alias("cell"), each(slots).alias("slot"))
+        met = c.join(q, (c.dim == q.q_dim) & (c.slot == q.q_slot) & (c.cell == q.q_cell) & (c.top * q["q.top"] + 1 >= q["q.least"]))
+        found = met.select(*PACKED, "q").mapInArrow(_grid(k), FOUND)
+    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
