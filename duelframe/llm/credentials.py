@@ -111,6 +111,10 @@ def redact(docs: DataFrame) -> DataFrame:
     kept = F.transform("__llm_cuts", lambda c: F.concat(F.substring("text", c["from"] + 1, c["to"] - c["from"]), F.lit(MASK)))
     last = F.element_at("__llm_cuts", -1)["end"]
     text = F.when(F.col("__llm_cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.substring("text", last + 1, F.length("text"))))
-    n_chars = F.when(F.col("__llm_cuts").isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None
-    out = keyed.withColumns({"text": text, **({"n_chars": n_chars} if n_chars is not None else {})})
-    return out.select(*docs.columns)
+    # The masked text stands under a name of its own, so that its length is not taken of a text masked twice.
+    out = keyed.withColumn("__llm_masked", text)
+    new = {"text": F.col("__llm_masked")}
+    if "n_chars" in docs.columns:
+        length = F.length("__llm_masked").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("__llm_cuts").isNull(), F.col("n_chars")).otherwise(length)
+    return out.select(*[new[c].alias(c) if c in new else c for c in docs.columns])
