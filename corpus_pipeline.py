@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from duelframe.llm import credentials, decontaminate, mixing, quality, simhash
 from duelframe.llm.common import table
 from duelframe.llm.queries import trusted_ids
-from duelframe.session import checkpoint_dir
+from duelframe.session import app_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents; each writes Parquet that the next one reads."""
-    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex[:8]}"
+    folder = f"{app_folder(spark)}/pipeline-{uuid.uuid4().hex[:8]}"
     docs = table(spark, sf_dir, "documents")
     for i, (_, step) in enumerate(STAGES):
         step(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows of one side of a join up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 #: Name of the content key that operators add; a prefix that no table is expected to have.
 KEY = "__llm_key"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from duelframe.session import stage
 
-from .common import KEY, checked_join, column, content_key, rows_of, slices
+from .common import KEY, checked_join, column, content_key, rows_of, slices, small
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 BLOCK_BITS = 16
@@ -224,8 +224,8 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     rows = base.join(classes(base), "fp").groupBy("root", "doc_id", KEY).agg(F.count("*").alias("times"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", KEY)
     members = stage(rows.select("root", "times", place.alias("place")), "members")
-    first = members.groupBy("root").agg(F.min("place").alias("first"))
-    judged = members.join(first, "root").select(F.col(f"place.{KEY}").alias(KEY), "times", (F.col("place") == F.col("first")).alias("stays"))
+    first = stage(members.groupBy("root").agg(F.min("place").alias("first")), "firsts")  # a join of tables, which Spark can split at a hot root
+    judged = members.join(small(first), "root").select(F.col(f"place.{KEY}").alias(KEY), "times", (F.col("place") == F.col("first")).alias("stays"))
     judged = stage(judged, "judged")
     gone = stage(judged.where("not stays or times > 1").select(KEY), "gone")
     twice = stage(judged.where("stays and times > 1").select(KEY), "repeated")
