@@ -31,7 +31,8 @@ FEATURES = 2_048
 CHI2 = 15.0
 PREFIX = 5
 SENTENCE = re.compile(r"[^.!?\n]+")
-WORD = re.compile(r"[^\W\d_]+")
+# Everything that is no letter separates words; bytes of non-ASCII characters count as letters.
+GAPS = bytes(i if 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -39,8 +40,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def features(words: set[str]) -> set[str]:
-    return words | {w[:PREFIX] + "*" for w in words if len(w) > PREFIX}
+def words(text: str) -> set[str]:
+    return {w.decode() for w in set(text.lower().encode().translate(GAPS).split())}
+
+
+def features(text: str) -> set[str]:
+    found = words(text)
+    return found | {w[:PREFIX] + "*" for w in found if len(w) > PREFIX}
 
 
 def _presence(batches):
@@ -55,7 +61,7 @@ def _presence(batches):
             c.clear()
     for batch in slices(batches, "text"):
         for text, y in zip(column(batch, "text").to_pylist(), column(batch, "toxic").to_pylist()):
-            seen[y].update(features(set(WORD.findall((text or "").lower()))))
+            seen[y].update(features(text or ""))
         if sum(map(len, seen.values())) > 500_000:
             yield from out()
     yield from out()
@@ -79,10 +85,10 @@ def vocabulary(sample: DataFrame) -> dict[str, int]:
 
 def sentences(text: str, vocab: dict[str, int]) -> list[tuple[int, int, list[int]]]:
     """Start, end and feature numbers of the sentences that have features."""
-    known = features(set(WORD.findall(text.lower()))) & vocab.keys()
+    known = features(text) & vocab.keys()
     out = []
     for m in SENTENCE.finditer(text) if known else ():
-        own = features(set(WORD.findall(m.group().lower()))) & known
+        own = features(m.group()) & known
         if own:
             out.append((m.start(), m.end(), sorted(vocab[f] for f in own)))
     return out
