@@ -90,7 +90,7 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, last))
     if not DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split(".")))]
     for m in CARD.finditer(text):
         number = digits(m.group()) if m.end() - m.start() < 64 else ""
         if 16 <= len(number) <= 19 and luhn(number):

@@ -183,6 +183,13 @@ def test_base_spans_match_brute_force(spark):
     assert sorted(base, key=repr) == sorted(((r[0], oracle.personal_data(r[1])) for r in PERSONAL), key=repr)
 
 
+def test_addresses_with_thousands_of_zeros():
+    zeros = "0" * 5000  # int() refuses strings of more than 4,300 digits
+    assert pii.strict_spans(f"at {zeros}.1.1.1 now") == [("ip", 3, 5009)]
+    assert pii.strict_spans(f"{zeros}7.{zeros}.01.255") == [("ip", 0, 10_009)]
+    assert pii.strict_spans(f"{zeros}256.1.1.1") == []
+
+
 def test_votes_learn_which_labelers_to_trust():
     patterns = {"email 1 0 1 1 1 1": 60, "phone 1 1 0 1 1 1": 40, "phone_local 0 1 0 1 1 1": 20, "phone_local 0 -1 0 -1 -1 1": 30, "card_like 0 -1 -1 -1 -1 2": 50}
     model = pii.learn(patterns)
