@@ -316,6 +316,16 @@ def test_classifier_rejects_junk_and_keeps_prose(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.keep for r in quality.classify(docs, ids).collect())
 
 
+def test_few_trusted_rows_still_make_bounds(spark):
+    rng = random.Random(9)
+    rows = [doc(i, fixtures.prose(rng, 1 + i % 8), ("en", "de", None)[i % 3]) for i in range(80)]  # 40 trusted in three languages
+    junk = [doc(1000 + i, "".join(rng.choices("#%&@QXZ0123456789", k=50 * 3 ** (i % 5))), ("en", "de", None, "fr")[i % 4]) for i in range(20)]
+    ids = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "doc_id long")
+    out = quality.classify(frame(spark, rows + junk + [doc(2000, "")]), ids).collect()
+    assert all(r.low is not None and r.high is not None for r in out)
+    assert not any(r.keep for r in out if r.doc_id >= 1000) and sum(r.keep for r in out if r.doc_id < 80) >= 76
+
+
 def test_classifier_without_trusted_text(spark):
     docs, none = frame(spark), spark.createDataFrame([], "doc_id long")
     assert {r.keep for r in quality.classify(docs.where("length(text) > 0"), none).collect()} == {True}
