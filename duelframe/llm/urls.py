@@ -1,8 +1,10 @@
 """URL filters: rules first, gradient-boosted trees on lexical features for the rest.
 
-Trees learn from the URLs that rules decide (block 1, allow 0), at most about FIT_ROWS of them by hash. Features:
-lengths, path depth, share of digits, character entropy, parameter counts, marks, and the block rates of the host's
-last one and two labels (hashed into BUCKETS buckets and smoothed). Only DataFrame functions and Spark ML are used.
+Trees learn from the URLs that rules decide (block 1, allow 0): distinct ones, at most about FIT_ROWS / 2 of each class
+by hash, weighted by their rows and the class's share. Features: lengths, path depth, share of digits, character
+entropy, parameter counts, marks, and the smoothed block rates of the host's last one and two labels, counted over all
+rows that rules decide. A training row takes its rates from the other folds of URLs, so its own label is not in them.
+Only DataFrame functions and Spark ML are used.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and no rule; trees judge it by its
 text (null as empty). If the rules decide no URL, or all alike, there is nothing to learn: the verdict is then the
@@ -20,8 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.session import stage
 
+from .common import checked_join
+
 FIT_ROWS = 20_000
-BUCKETS = 512
+FOLDS = 10
 TREES, DEPTH = 10, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -92,27 +96,47 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 def suffix(host: Column, labels: int) -> Column:
-    return F.pmod(F.xxhash64(F.substring_index(host, ".", -labels), F.lit(labels)), F.lit(BUCKETS))
+    return F.substring_index(host, ".", -labels)
+
+
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS))
 
 
-def suffix_rates(sample: DataFrame, labels: int) -> DataFrame:
-    """Smoothed block rate and share of URLs by suffix bucket: at most BUCKETS rows."""
-    counts = sample.groupBy(suffix(F.col("host"), labels).alias(f"s{labels}")).agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    return counts.select(f"s{labels}", ((F.col("bad") + 1) / (F.col("n") + 2)).alias(f"rate{labels}"), F.log1p("n").alias(f"seen{labels}"))
+def suffix_counts(known: DataFrame, labels: int) -> tuple[DataFrame, DataFrame]:
+    """Blocked and all rows by suffix, and the same by suffix and fold, over all of ``known`` (url, host, label, n)."""
+    name = f"s{labels}"
+    parts = known.groupBy(suffix(F.col("host"), labels).alias(name), fold_of(F.col("url")).alias("fold")).agg(
+        F.sum(F.col("label") * F.col("n")).alias(f"fold_bad{labels}"), F.sum("n").alias(f"fold_n{labels}"))
+    parts = stage(parts, f"suffix{labels}_folds")
+    whole = parts.groupBy(name).agg(F.sum(f"fold_bad{labels}").alias(f"bad{labels}"), F.sum(f"fold_n{labels}").alias(f"n{labels}"))
+    return stage(whole, f"suffix{labels}"), parts
 
 
-def with_features(rows: DataFrame, rates: list[DataFrame]) -> tuple[DataFrame, list[str]]:
-    """``rows`` (url, host, path) with the features beside them."""
+def with_features(rows: DataFrame, counts: list[tuple[DataFrame, DataFrame]], train: bool = False) -> tuple[DataFrame, list[str]]:
+    """``rows`` (url, host, path) with the features beside them; rates of ``train`` rows leave their own fold out."""
     columns = lexical(F.coalesce("url", F.lit("")), F.col("host"), F.col("path"))
     out = rows.withColumns({c: e.cast("double") for c, e in columns.items()})
     names = list(columns)
-    for labels, rate in enumerate(rates, 1):
-        out = out.withColumn(f"s{labels}", suffix(F.col("host"), labels)).join(F.broadcast(rate), f"s{labels}", "left")
-        out = out.withColumns({f"rate{labels}": F.coalesce(f"rate{labels}", F.lit(0.5)), f"seen{labels}": F.coalesce(f"seen{labels}", F.lit(0.0))})
+    for labels, (whole, parts) in enumerate(counts, 1):
+        out = checked_join(out.withColumn(f"s{labels}", suffix(F.col("host"), labels)), whole, f"s{labels}", "left")
+        bad, n = F.coalesce(f"bad{labels}", F.lit(0)), F.coalesce(f"n{labels}", F.lit(0))
+        if train:
+            out = checked_join(out.withColumn("fold", fold_of(F.col("url"))), parts, [f"s{labels}", "fold"], "left")
+            bad, n = bad - F.coalesce(f"fold_bad{labels}", F.lit(0)), n - F.coalesce(f"fold_n{labels}", F.lit(0))
+        out = out.withColumns({f"rate{labels}": (bad + 1) / (n + 2), f"seen{labels}": F.log1p(n.cast("double"))})
         names += [f"rate{labels}", f"seen{labels}"]
     return out, names
 
 
+def fit_sample(known: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """About FIT_ROWS / 2 distinct URLs of each class of ``known`` (url, label, n), all of a smaller class, with their ``weight``."""
+    share = {c: min(1.0, FIT_ROWS / 2 / size) for c, size in sizes.items()}
+    own = F.when(F.col("label") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
+    drawn = F.pmod(F.xxhash64("url"), F.lit(1 << 40)) < own * (1 << 40)
+    return known.where(drawn).withColumn("weight", F.col("n") / own)
+
+
 def judge(pages: DataFrame, rules: list[str], carry: list[str] | None = None) -> DataFrame:
     """``carry`` (page_id), host, path, rule, verdict and the trees' ``p_block`` for every row of ``pages`` (url)."""
     carry = carry or ["page_id"]
@@ -120,19 +144,18 @@ def judge(pages: DataFrame, rules: list[str], carry: list[str] | None = None) ->
     rows = pages.select(*[F.col(c).alias(f"__llm_{c}") for c in carry], "url")
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fit", rule_of(parsed))
     known = rows.where("fit is not null").select("url", "host", "path", (F.col("fit.action") == "block").cast("int").alias("label"))
-    total = known.count()
-    share = min(1.0, FIT_ROWS / max(1, total))
-    sample = stage(known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000)), "url_sample")
-    classes = [r.label for r in sample.select("label").distinct().collect()]
-    if len(classes) < 2:
-        out = rows.withColumn("p_block", F.lit(float(classes[0]) if classes else 0.0))
+    known = stage(known.groupBy("url", "host", "path", "label").agg(F.count("*").alias("n")), "url_known")
+    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        out = rows.withColumn("p_block", F.lit(float(min(sizes, default=0))))
     else:
-        rates = [stage(suffix_rates(sample, n), f"suffix{n}") for n in (1, 2)]
-        train, names = with_features(sample, rates)
+        counts = [suffix_counts(known, n) for n in (1, 2)]
+        train, names = with_features(stage(fit_sample(known, sizes), "url_sample"), counts, train=True)
         assembler = VectorAssembler(inputCols=names, outputCol="features")
-        ready = stage(assembler.transform(train).select("features", F.col("label").cast("double").alias("label")), "url_features").coalesce(2)
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=64).fit(ready)
-        scored, _ = with_features(rows, rates)
+        ready = assembler.transform(train).select("features", F.col("label").cast("double").alias("label"), "weight")
+        ready = stage(ready, "url_features").coalesce(2)
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=64, weightCol="weight").fit(ready)
+        scored, _ = with_features(rows, counts)
         out = model.transform(assembler.transform(scored)).withColumn("p_block", vector_to_array("probability")[1])
     guess = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
     return out.select(*[F.col(f"__llm_{c}").alias(c) for c in carry], "host", "path", F.col("fit.text").alias("rule"),

@@ -106,6 +106,36 @@ def test_urls_with_nothing_to_learn(spark):
     assert {r.verdict for r in urls.judge(pages(spark, ["http://a.com/de/", "http://b.net/"]), RULES).collect()} == {"block"}
 
 
+def test_suffixes_are_counted_over_all_rows_and_both_classes_drawn(spark, monkeypatch):
+    monkeypatch.setattr(urls, "FIT_ROWS", 40)
+    many = [f"http://h{i % 700}.com/fr/{i}" for i in range(4000)] + ["http://hot.com/fr/"] * 2000
+    rare = [f"http://bad{i}.com/de/{i}" for i in range(3)]
+    found = pages(spark, many + rare + ["http://bad0.com/", "http://h1.com/", "http://new.com/"])
+    fit, seen = {}, []
+    draw, build = urls.fit_sample, urls.with_features
+
+    def drawn(known, sizes):
+        fit["rows"] = draw(known, sizes).collect()
+        return draw(known, sizes)
+
+    def featured(rows, counts, train=False):
+        out, names = build(rows, counts, train)
+        seen.append((train, out))
+        return out, names
+    monkeypatch.setattr(urls, "fit_sample", drawn)
+    monkeypatch.setattr(urls, "with_features", featured)
+    out = urls.judge(found, RULES)
+    assert len({r.p_block for r in out.collect()}) > 1
+    assert sum(r.label for r in fit["rows"]) == 3 and 5 <= sum(r.label == 0 for r in fit["rows"]) <= 45
+    whole = {r.url: r for train, x in seen if not train for r in x.select("url", "rate1", "rate2", "seen2").collect()}
+    assert whole["http://bad0.com/"].rate2 == 2 / 3 and whole["http://new.com/"].rate2 == 0.5 and whole["http://new.com/"].seen2 == 0
+    n = sum(i % 700 == 1 for i in range(4000))
+    assert whole["http://h1.com/"].rate2 == 1 / (n + 2) and whole["http://hot.com/fr/"].rate2 == 1 / 2002
+    assert all(r.rate1 == 4 / 6005 for r in whole.values())
+    own = {r.url: r.rate2 for train, x in seen if train for r in x.select("url", "rate2").collect()}
+    assert own["http://bad0.com/de/0"] == 0.5  # a row's own label is not in its rates
+
+
 def test_entropy(spark):
     out = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("abcdé😀xy",)], "u string").select(urls.entropy(F.col("u"))).collect()
     assert [round(r[0], 9) for r in out] == [1.0, 0.0, 0.0, 3.0]
