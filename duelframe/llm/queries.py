@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import credentials, decontaminate, licenses, mixing, pii, quality, simhash, topk, toxicity, urls
+from . import collocations, credentials, decontaminate, forest, licenses, mixing, pii, quality, runs, simhash, topk, toxicity, urls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,70 @@ def op6_boosted_urls(spark, folder):
 @query("op8_template_automata")
 def op8_template_automata(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op11_lsh_forest")
+def op11_lsh_forest(spark, folder):
+    return forest.near_duplicates(table(spark, folder, "documents"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by the checksum of doc_id, the words after some place repeat those at that place."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')")
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    start = g % n
+    period = 1 + F.floor((n - start) / (3 + g % 8))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - F.lit(1).cast("long")), lambda i: F.when(i < start, i).otherwise(start + (i - start) % period))
+    changed = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    told = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    return told.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_of(docs: DataFrame) -> DataFrame:
+    found = runs.find_runs(with_repeats(docs))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.period")
+    return told.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_square_catchers")
+def op12_square_catchers(spark, folder):
+    return op12_of(table(spark, folder, "documents"))
+
+
+@query("op13_stripes", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+size AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k))
+  GROUP BY lang, phrase, k HAVING count(*) >= 30),
+cut AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS part, array_to_string(string_split(phrase, ' ')[c + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, c, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cut JOIN f l ON cut.lang = l.lang AND cut.part = l.phrase JOIN f r ON cut.lang = r.lang AND cut.rest = r.phrase),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+held AS (
+  SELECT lang, part AS phrase, max(f) AS most FROM (
+    SELECT lang, f, array_to_string(string_split(phrase, ' ')[s:s + j - 1], ' ') AS part FROM (
+      SELECT *, unnest(range(1, k - j + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS j FROM f WHERE k > 2)))
+  GROUP BY lang, part),
+alone AS (
+  SELECT lowest.* FROM lowest LEFT JOIN held ON lowest.lang = held.lang AND lowest.phrase = held.phrase
+  WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM alone JOIN size USING (lang) QUALIFY rank <= 2000""")
+def op13_stripes(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))

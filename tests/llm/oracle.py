@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
+from collections import Counter
 
 import xxhash
 
@@ -193,3 +195,90 @@ class KneserNey:
         if not n:
             return None
         return math.exp(-sum(math.log(self.p(tuple(s[i - self.order + 1:i + 1]))) for i in range(self.order - 1, len(s))) / n)
+
+
+def with_repeats(doc_id, words):
+    """The words of a document as the query on runs of words takes them."""
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(words, least=6, periods=4):
+    """(start, length, period) of all runs, from comparing each word with that q places later, for every q."""
+    n, out = len(words), []
+    for q in range(1, n // periods + 1):
+        i = 0
+        while i + q < n:
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i + q - start
+            if i > start and length >= max(least, periods * q):
+                if not any(all(words[t] == words[t + p] for t in range(start, start + length - p)) for p in range(1, q)):
+                    out.append((start, length, q))
+            i = max(i, start + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def runs_row(doc_id, text):
+    words = with_repeats(doc_id, TOKEN.findall(text or ""))
+    runs = periodic_runs(words)
+    gone = {i for a, n, q in runs for i in range(a + q, a + n)}
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=(None,) * 3)
+    digest = hashlib.sha256("".join(f"{a},{n},{q}\n" for a, n, q in runs).encode()).hexdigest()
+    collapsed = hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, digest, collapsed)
+
+
+def shingle_components(docs, k=4):
+    """(doc_id, n_shingles, component_id, kept) from comparing the shingle sets of all pairs."""
+    sets = []
+    for _, text in docs:
+        words = TOKEN.findall(lower(text or ""))
+        sets.append(frozenset(tuple(words[i:i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset())
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    parent[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(docs):
+        if doc_id is not None:
+            least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return [(d, len(sets[i]), least.get(find(i)), d is not None and d == least.get(find(i))) for i, (d, _) in enumerate(docs)]
+
+
+def collocations(docs, least, top):
+    """Rows of the leading phrases of (text, lang) pairs."""
+    n, f = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            f.update((lang, tuple(words[s:s + k])) for k in range(1, 5) for s in range(len(words) - k + 1))
+    frequent = {key: c for key, c in f.items() if c >= least}
+    most = Counter()
+    for (lang, p), c in frequent.items():
+        for k in range(2, len(p)):
+            for s in range(len(p) - k + 1):
+                most[lang, p[s:s + k]] = max(most[lang, p[s:s + k]], c)
+    rows = {}
+    for (lang, p), a in frequent.items():
+        if len(p) > 1 and 100 * most[lang, p] < 80 * a:
+            cuts = [(f[lang, p[:k]], f[lang, p[k:]]) for k in range(1, len(p))]
+            score, _, (l, r) = min((2_000_000 * a // (l + r), k, (l, r)) for k, (l, r) in enumerate(cuts))
+            rows.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), l, r))
+    return [(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in rows.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])]
