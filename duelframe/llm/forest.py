@@ -5,14 +5,17 @@ values of its own and the next ones (LCP values in all), so sets with long commo
 Candidates are the neighbours in an order, and all pairs inside a region: the rows that share a prefix of the least depth
 at which at most REGION of them are left, which is short where sets are sparse and long where they crowd. A region that
 is still larger at full depth is walked in half-overlapping windows, so no row has more than a bounded number of partners in an order
-and none is left out. Candidates must agree by a sketch of one bit a value (4.5 standard deviations below similarity
-0.8), may not already be connected, and are confirmed on full sets, recomputed from the texts of the rows concerned.
+and none is left out. Candidates must agree by a sketch of one bit a value and by their whole signatures (each 4.5 standard
+deviations below similarity 0.8), may not already be connected, must be possible by the bitmaps of their sets (an element whose
+bit the other side lacks is not shared, which bounds the similarity exactly), and are confirmed on full sets, recomputed from
+the texts of the rows concerned.
 
-Equal sets are one node. Three rounds spare groups of copies all their pairs: neighbours of the first order, neighbours
-of all orders, regions of all orders; each looks only between components that the rounds before left apart.
+Equal sets are one node. Three rounds spare groups of copies all their pairs, each looking only between components that
+the rounds before left apart: neighbours of the first order; neighbours of all orders, which also notes the nodes that
+have a likely partner in some region; and regions of all orders, of those nodes alone, by whole signatures and bitmaps.
 
 What can be missed: a link at similarity s whose ends share a region in no order, (1 - s ** depth) ** ORDERS: at 0.8
-4e-9 at depth 3, 3e-6 at 4, 7e-5 at 5; the sketch, 3e-6; and only if no chain of other links joins the two. Nothing found is untrue, up to
+4e-9 at depth 3, 3e-6 at 4, 7e-5 at 5; sketch and signature, 3e-6 each; and only if no chain of other links joins the two. Nothing found is untrue, up to
 collisions of 64-bit shingle hashes inside one pair. Rows are dealt by ranges of (order, signature, set), which are unique, so a crowd
 spreads over tasks; a region cut by a range loses its pairs across the cut in that order only.
 
@@ -40,13 +43,19 @@ SHINGLE, PERCENT = 4, 80
 ORDERS, DEPTH, LCP = 24, 8, 16
 VALUES = ORDERS * DEPTH
 REGION, BUFFER = 512, 1 << 16
-#: Sketch bits that may differ: mean 19.2 at similarity 0.8, and 4.5 standard deviations.
-FAR = 38
+#: Sketch bits that may differ, mean 19.2 at similarity 0.8, and signature values that must agree, mean 153.6; by 4.5 standard deviations.
+FAR, AGREED = 38, 128
+BITS = 2048
+NODE, SKETCH, WHOLE = 2 * LCP, 2 * LCP + 16, 2 * LCP + 16 + VALUES // 8  # where the parts of a row begin
+BITMAP = WHOLE + 2 * VALUES
 GAIN = np.uint64(0xD6E8FEB86659FD93)
 FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 OFFSETS = mix(np.arange(1001, 1001 + VALUES, dtype=np.uint64))
 
 
+STORED = ("node", "signature", "sketch", "bitmap")
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, in order; none for a text without words."""
     numbers: dict[bytes, int] = {}
@@ -78,7 +87,7 @@ def _signatures(carry: list[str]):
         for batch in slices(batches, "text"):
             sets = shingle_sets(list(rows_of(batch, "text")))
             full = [i for i, s in enumerate(sets) if len(s)]
-            signature, sketch, digest = ([None] * len(sets) for _ in range(3))
+            signature, sketch, digest, bitmap = ([None] * len(sets) for _ in range(4))
             if full:
                 values = minhashes([sets[i] for i in full])
                 short = (values >> np.uint64(48)).astype(">u2")
@@ -86,8 +95,11 @@ def _signatures(carry: list[str]):
                 for k, i in enumerate(full):
                     signature[i], sketch[i] = short[k].tobytes(), bits[k].tobytes()
                     digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-            made = [pa.array(list(map(len, sets)), pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, signature, sketch))]
-            yield pa.record_batch([*[column(batch, c) for c in carry], *made], names=[*carry, "n_shingles", "node", "signature", "sketch"])
+                    marked = np.zeros(BITS, bool)
+                    marked[sets[i] % np.uint64(BITS)] = True
+                    bitmap[i] = np.packbits(marked).tobytes()
+            made = [pa.array(list(map(len, sets)), pa.int64()), *(pa.array(c, pa.binary()) for c in (digest, signature, sketch, bitmap))]
+            yield pa.record_batch([*[column(batch, c) for c in carry], *made], names=[*carry, "n_shingles", *STORED])
     return run
 
 
@@ -99,12 +111,13 @@ def _sets(batches):
         yield pa.record_batch({"node": column(batch, "node"), "shingles": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))})
 
 
-def ordered(nodes: DataFrame, orders: list[int]) -> DataFrame:
-    """Rows of the orders, sorted: ``row`` is the path of LCP values, the node and the sketch in one."""
+def ordered(nodes: DataFrame, orders: list[int], whole: bool) -> DataFrame:
+    """Rows of the orders, sorted: ``row`` is the path of LCP values, the node, the sketch and, if ``whole``, signature and bitmap in one."""
     order = F.explode(F.array(*[F.lit(o) for o in orders])).alias("order")
-    spread = nodes.select(order, "node", "sketch", "n_shingles", "component", F.expr("concat(signature, signature)").alias("cycle"))
+    spread = nodes.select(order, *STORED, "n_shingles", "component", F.expr("concat(signature, signature)").alias("cycle"))
     path = F.substring("cycle", F.col("order") * (2 * DEPTH) + 1, F.lit(2 * LCP))
-    rows = spread.select("order", F.concat(path, "node", "sketch").alias("row"), "n_shingles", "component")
+    parts = [path, "node", "sketch", *(["signature", "bitmap"] if whole else [])]
+    rows = spread.select("order", F.concat(*parts).alias("row"), "n_shingles", "component")
     return rows.repartitionByRange("order", "row").sortWithinPartitions("order", "row")
 
 
@@ -116,8 +129,7 @@ class Rows:
 
     @staticmethod
     def of(batch: pa.RecordBatch) -> Rows:
-        width = 2 * LCP + 16 + VALUES // 8
-        raw = np.frombuffer(b"".join(rows_of(batch, "row")), np.uint8).reshape(-1, width)
+        raw = np.frombuffer(b"".join(rows_of(batch, "row")), np.uint8).reshape(batch.num_rows, -1)
         return Rows(*(column(batch, "order").to_numpy(), raw, column(batch, "n_shingles").to_numpy(), column(batch, "component").to_numpy()))
 
     def parts(self):
@@ -131,16 +143,23 @@ class Rows:
 
     def shared(self) -> np.ndarray:
         """Values that each row's path shares with that before it; -1 at the start of an order."""
-        path = np.ascontiguousarray(self.row[:, :2 * LCP]).view(">u2")
+        path = np.ascontiguousarray(self.row[:, :NODE]).view(">u2")
         equal = np.cumprod(path[1:] == path[:-1], axis=1, dtype=np.int8).sum(axis=1)
         return np.concatenate([[-1], np.where(self.order[1:] == self.order[:-1], equal, -1)])
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether two rows may be linked and are not yet connected."""
-        sketch = self.row[:, 2 * LCP + 16:]
         less, more = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
         out = (self.component[a] != self.component[b]) & (100 * less >= PERCENT * more)
+        sketch = np.ascontiguousarray(self.row[:, SKETCH:WHOLE]).view(np.uint64)
         out[out] = np.bitwise_count(sketch[a[out]] ^ sketch[b[out]]).sum(axis=1) <= FAR
+        if self.row.shape[1] > WHOLE and out.any():
+            signature = np.ascontiguousarray(self.row[:, WHOLE:BITMAP]).view(np.uint16)
+            out[out] = (signature[a[out]] == signature[b[out]]).sum(axis=1) >= AGREED
+            bitmap = np.ascontiguousarray(self.row[:, BITMAP:]).view(np.uint64)
+            a, b = a[out], b[out]
+            both = np.minimum(*(self.size[x] - np.bitwise_count(bitmap[x] & ~bitmap[y]).sum(axis=1, dtype=np.int64) for x, y in ((a, b), (b, a))))
+            out[out] = 100 * both >= PERCENT * (self.size[a] + self.size[b] - both)
         return out
 
     def regions(self, shared: np.ndarray, most: int):
@@ -161,28 +180,43 @@ class Rows:
             if not open_.any():
                 return
 
-    def candidates(self, whole: bool, most: int):
-        """Pairs of row numbers, those of one region or window at a time."""
-        shared = self.shared()
+    def neighbours(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(shared > 0)
         at = at[self.near(at - 1, at)]
-        yield at - 1, at
-        if whole:
-            for start, end in self.regions(shared, most):
-                if len(np.unique(self.component[start:end])) < 2:
-                    continue
-                a, b = np.triu_indices(end - start, 1)
-                keep = self.near(a + start, b + start)
+        return at - 1, at
+
+    def inside(self, shared: np.ndarray, most: int):
+        """Pairs of row numbers, those of one region or window at a time."""
+        for start, end in self.regions(shared, most):
+            if (self.component[start:end] != self.component[start]).any():
+                part, (a, b) = self[start:end], np.triu_indices(end - start, 1)
+                keep = part.near(a, b)
                 yield a[keep] + start, b[keep] + start
 
+    def nodes(self, at: np.ndarray) -> pa.Array:
+        return pa.array([x.tobytes() for x in self.row[at, NODE:SKETCH]], pa.binary())
 
-def _candidates(whole: bool, most: int, buffer: int):
+
+FIRST, ALL, REGIONS = range(3)
+
+
+def _candidates(kind: int, most: int, buffer: int):
+    """(a, b) of candidates; in the round ALL also (a, null) for nodes with a likely partner in a region."""
     def pairs(rows: Rows):
-        for a, b in rows.candidates(whole, most):
+        shared = rows.shared()
+        a, b = rows.neighbours(shared)
+        yield rows.nodes(a), rows.nodes(b)
+        for a, b in rows.inside(shared, most) if kind != FIRST else ():
+            if kind == REGIONS:
+                yield rows.nodes(a), rows.nodes(b)
+            else:
+                some = rows.nodes(np.unique(np.concatenate([a, b])))
+                yield some, pa.nulls(len(some), pa.binary())
+
+    def made(rows: Rows):
+        for a, b in pairs(rows):
             if len(a):
-                node = [rows.row[i, 2 * LCP:2 * LCP + 16] for i in (a, b)]
-                names = [pa.array([x.tobytes() for x in side], pa.binary()) for side in node]
-                yield pa.record_batch(names, names=["a", "b"])
+                yield pa.record_batch({"a": a, "b": b})
 
     def run(batches):
         held = None
@@ -195,10 +229,10 @@ def _candidates(whole: bool, most: int, buffer: int):
                 shared = held.shared()
                 tail = buffer // 2
                 cut = tail + int(shared[tail:].argmin())
-                yield from pairs(held[:cut])
+                yield from made(held[:cut])
                 held = held[cut:]
         if held is not None and len(held.order):
-            yield from pairs(held)
+            yield from made(held)
     return run
 
 
@@ -215,19 +249,23 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame) -> DataFrame
     return pairs.join(left, "a").join(right, "b").where(100 * both.cast("long") >= PERCENT * union.cast("long")).select("a", "b")
 
 
-ROUNDS = (([0], False), (list(range(ORDERS)), False), (list(range(ORDERS)), True))
-
-
 def linked(nodes: DataFrame, keyed: DataFrame, most: int = REGION, buffer: int = BUFFER) -> DataFrame | None:
     """(node, root) of the nodes that have links, or None if there are none."""
     edges = roots = None
-    for orders, whole in ROUNDS:
+    looked = nodes
+    for kind in (FIRST, ALL, REGIONS):
         if roots is None:
-            told = nodes.withColumn("component", F.xxhash64("node"))
+            told = looked.withColumn("component", F.xxhash64("node"))
         else:
-            told = checked_join(nodes, roots, "node", "left").withColumn("component", F.xxhash64(F.coalesce("root", "node"))).drop("root")
-        found = ordered(told, orders).mapInArrow(_candidates(whole, most, buffer), "a binary, b binary")
-        pairs = stage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            told = checked_join(looked, roots, "node", "left").withColumn("component", F.xxhash64(F.coalesce("root", "node"))).drop("root")
+        rows = ordered(told, [0] if kind == FIRST else list(range(ORDERS)), kind == REGIONS)
+        found = rows.mapInArrow(_candidates(kind, most, buffer), "a binary, b binary")
+        either = F.col("b").isNull()  # a node alone
+        first, second = F.when(either, F.col("a")).otherwise(F.least("a", "b")), F.when(~either, F.greatest("a", "b"))
+        pairs = stage(found.select(first.alias("a"), second.alias("b")).distinct(), "pairs")
+        if kind == ALL:
+            looked = stage(checked_join(nodes, pairs.where("b is null").select(F.col("a").alias("node")), "node", "left_semi"), "likely")
+        pairs = pairs.where("b is not null")
         if pairs.isEmpty():
             continue
         links = stage(confirmed(pairs, nodes, keyed), "links")
@@ -239,9 +277,9 @@ def linked(nodes: DataFrame, keyed: DataFrame, most: int = REGION, buffer: int =
 
 
 def signed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry``, n_shingles, node (digest of the set), signature and sketch of every row; the last three null without shingles."""
+    """``carry``, n_shingles, node (digest of the set), signature, sketch and bitmap of every row; the last four null without shingles."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(_signatures(carry), f"{kinds}, n_shingles long, node binary, signature binary, sketch binary")
+    return docs.select(*carry, "text").mapInArrow(_signatures(carry), f"{kinds}, n_shingles long, {', '.join(f'{c} binary' for c in STORED)}")
 
 
 def near_duplicates(docs: DataFrame, most: int = REGION, buffer: int = BUFFER) -> DataFrame:
@@ -249,7 +287,7 @@ def near_duplicates(docs: DataFrame, most: int = REGION, buffer: int = BUFFER) -
     keyed = docs.select("doc_id", "text").withColumn(KEY, content_key("doc_id", "text"))
     base = stage(signed(keyed, ["doc_id", KEY]), "minhash")
     grouped = base.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first"), F.min(KEY).alias("sample"), *[F.first(c).alias(c) for c in ("n_shingles", "signature", "sketch")])
+        F.min("doc_id").alias("first"), F.min(KEY).alias("sample"), *[F.first(c).alias(c) for c in ("n_shingles", *STORED[1:])])
     nodes = stage(grouped, "nodes")
     roots = linked(nodes.drop("first"), keyed, most, buffer)
     classes = nodes.select("node", "first")
