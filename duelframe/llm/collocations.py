@@ -7,11 +7,12 @@ structure gives everything a score needs: elements are the frequencies of extend
 and the largest element of a stripe is the right-hand subsumption maximum (elements seen from their last words give
 the left-hand one). Containment in a phrase two words longer needs no look of its own: the phrase between is at least as frequent.
 
-A phrase of frequency LEAST has parts of at least that frequency, so three passes build what can matter: words; the
-stripes of single frequent words; the stripes of two and three words all of whose word pairs are frequent. Which words
-and pairs are frequent is told to tasks by Bloom filters of fixed size (8 MB); what they let through in error is
-counted exactly and falls with its count. Elements are merged by Spark's aggregation keyed by (prefix, next word), with
-map-side combining, so the stripe of a very common word is spread over all tasks and never held whole.
+A phrase of frequency LEAST has parts of at least that frequency, so three passes build what can matter: words; hashes of
+pairs of frequent words, counted as numbers packed by their leading bits; then all stripes, whose elements end in a frequent pair and whose
+prefixes hold none but frequent ones. Which words and pairs are frequent is told to tasks by Bloom filters of fixed
+size (8 MB); what they let through in error is counted exactly and falls with its count. Hashes and elements are
+merged by Spark's aggregation, elements by (prefix, next word), with map-side combining, so the stripe of a very common
+word is spread over all tasks and never held whole.
 
 Defined results: null or empty text has no words; null lang counts as ``und``. Repeated rows all count. Ties in a score
 go to the larger frequency, then to the smaller phrase in byte order. Other columns, whatever their names, are not read.
@@ -31,8 +32,10 @@ from .common import checked_join, column, rows_of, slices
 from .decontaminate import bloom_of, in_bloom, mix
 
 LEAST, LONGEST, SCALE, SUBSUMED, TOP = 30, 4, 2_000_000, 80, 2000
-#: Bytes of text whose stripes are built together, and the words a task remembers.
-BATCH, REMEMBERED = 4 << 20, 400_000
+#: Bytes of text whose stripes are built together, and numbers that a task counts together.
+BATCH, TOGETHER = 2 << 20, 1 << 21
+#: Pairs of words that one part of the pair counts is meant for.
+IN_PART = 1 << 17
 #: Parts of a language in which the leading phrases are found before the language's own are.
 PARTS = 64
 # End of a piece: stands where no text has a byte.
@@ -49,8 +52,9 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\n" + word, 13)
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+def pair_code(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """A number of 32 + ``bits`` bits for each pair of word hashes."""
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b) >> np.uint64(32 - bits)
 
 
 def by_language(batches):
@@ -76,21 +80,75 @@ def _words(batches):
 
 
 class Vocabulary:
-    """Number of each word of a language; 0 for breaks and for words that the filter of frequent words does not know."""
+    """Numbers of the words of a language that the filter of frequent words knows."""
 
     def __init__(self, lang: str, bits: np.ndarray):
         self.lang, self.bits = lang, bits
-        self.number, self.names, self.hashes = {BREAK: 0}, [""], [0]
+        self.number: dict[bytes, int] = {}
+        self.names, self.hashes = [""], [0]
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        new = list(set(words).difference(self.number))
-        hashes = np.fromiter((word_hash(self.lang, w) for w in new), np.uint64, len(new))
-        for word, known, h in zip(new, in_bloom(self.bits, hashes).tolist(), hashes.tolist()):
-            self.number[word] = len(self.names) if known else 0
+        """Number of each word; 0 for breaks and unknown words."""
+        told = dict.fromkeys(words, 0)
+        told.pop(BREAK, None)
+        hashes = np.fromiter((word_hash(self.lang, w) for w in told), np.uint64, len(told))
+        for word, known, h in zip(told, in_bloom(self.bits, hashes).tolist(), hashes.tolist()):
             if known:
-                self.names.append(word.decode())
-                self.hashes.append(h)
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+                told[word] = self.number.setdefault(word, len(self.names))
+                if told[word] == len(self.names):
+                    self.names.append(word.decode())
+                    self.hashes.append(h)
+        told[BREAK] = 0
+        return np.fromiter(map(told.__getitem__, words), np.int64, len(words))
+
+
+def numbered(batches, bits: np.ndarray):
+    """(vocabulary, word numbers) of the texts of each batch that share a language."""
+    known: dict[str, Vocabulary] = {}
+    for lang, told in by_language(batches):
+        vocabulary = known.setdefault(lang, Vocabulary(lang, bits))
+        yield vocabulary, vocabulary.numbers(told)
+
+
+def _pairs(words_bloom, bits: int):
+    """Pairs of frequent words by the leading ``bits`` of their code: the other 32 bits of pairs seen once, and of others with counts."""
+    def counted(parts: list[np.ndarray]):
+        code, f = np.unique(np.concatenate(parts), return_counts=True)
+        part = (code >> np.uint64(32)).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(code)]
+        rest, f = code.astype(np.uint32), f.astype(np.uint32)
+        once, more = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            single = f[a:b] == 1
+            once.append(rest[a:b][single].tobytes())
+            more.append(np.stack([rest[a:b][~single], f[a:b][~single]]).tobytes())
+        yield pa.record_batch({"part": pa.array(part[cuts[:-1]]), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for vocabulary, ids in numbered(batches, np.frombuffer(words_bloom.value, np.uint8)):
+            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            hashes = np.array(vocabulary.hashes, np.uint64)
+            if len(at):
+                held.append(pair_code(hashes[ids[at]], hashes[ids[at + 1]], bits))
+            if sum(map(len, held)) > TOGETHER:
+                yield from counted(held)
+                held = []
+        if held:
+            yield from counted(held)
+    return run
+
+
+def _frequent_pairs(least: int):
+    """``hash`` of the pair codes of one part that reach ``least`` in sum."""
+    def run(table: pa.Table) -> pa.Table:
+        once = np.frombuffer(b"".join(table["once"].to_pylist()), np.uint32)
+        more = [np.frombuffer(m, np.uint32).reshape(2, -1) for m in table["more"].to_pylist()]
+        code, place = np.unique(np.concatenate([once, *[m[0] for m in more]]), return_inverse=True)
+        f = np.bincount(place, np.concatenate([np.ones(len(once)), *[m[1] for m in more]]), minlength=len(code))
+        kept = code[f >= least].astype(np.uint64) | np.uint64(table["part"][0].as_py() << 32)
+        return pa.table({"hash": mix(kept).view(np.int64)})
+    return run
 
 
 def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tuple[np.ndarray, ...]], words: pa.Array) -> pa.RecordBatch:
@@ -108,39 +166,29 @@ def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tup
                             "stripe": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), element)})
 
 
-def _stripes(words_bloom, pairs_bloom):
-    """Stripes of one-word prefixes; with a filter of frequent pairs, of two-word and three-word prefixes instead."""
+def _stripes(words_bloom, pairs_bloom, bits: int):
+    """Stripes of prefixes of one, two and three words."""
     def run(batches):
-        bits = np.frombuffer(words_bloom.value, np.uint8)
-        pair_bits = np.frombuffer(pairs_bloom.value, np.uint8) if pairs_bloom else None
-        known: dict[str, Vocabulary] = {}
-        for lang, told in by_language(batches):
-            if sum(len(v.number) for v in known.values()) > REMEMBERED:
-                known.clear()
-            vocabulary = known.setdefault(lang, Vocabulary(lang, bits))
-            ids = vocabulary.numbers(told)
-            words = pa.array(vocabulary.names, pa.string())
-            here, after = ids[:-1], ids[1:]
-            if pair_bits is None:
-                at = np.flatnonzero(here > 0)
-                yield stripes_of(lang, here[at], after[at], [np.arange(len(words))], words)
-                continue
-            at = np.flatnonzero((here > 0) & (after > 0))
-            codes, number = np.unique(here[at] << 32 | after[at], return_inverse=True)
+        pair_bits = np.frombuffer(pairs_bloom.value, np.uint8)
+        for vocabulary, ids in numbered(batches, np.frombuffer(words_bloom.value, np.uint8)):
+            lang, words, n = vocabulary.lang, pa.array(vocabulary.names, pa.string()), len(ids)
+            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            codes, number = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
             a, b = codes >> 32, codes & 0xFFFFFFFF
             hashes = np.array(vocabulary.hashes, np.uint64)
-            frequent = in_bloom(pair_bits, pair_hash(hashes[a], hashes[b]))
-            pair = np.zeros(len(ids) + 2, np.int64)  # 1 + number of the frequent pair that begins at a word, else 0
+            frequent = in_bloom(pair_bits, mix(pair_code(hashes[a], hashes[b], bits)))
+            pair = np.zeros(n + 2, np.int64)  # 1 + number of the frequent pair that begins at a word, else 0
             pair[at] = np.where(frequent[number], number + 1, 0)
-            n = len(ids)
             ids = np.concatenate([ids, [0, 0, 0]])
+            at = np.flatnonzero(ids[:n] > 0)
+            yield stripes_of(lang, ids[at], np.where(pair[at] > 0, ids[at + 1], 0), [np.arange(len(words))], words)
             at = np.flatnonzero(pair[:n])
             goes_on = pair[at + 1] > 0
             yield stripes_of(lang, pair[at] - 1, np.where(goes_on, ids[at + 2], 0), [a, b], words)
             at = at[goes_on]  # triples of frequent pairs
             triples, number = np.unique((pair[at] - 1) << 32 | ids[at + 2], return_inverse=True)
-            ahead = np.where(pair[at + 2] > 0, ids[at + 3], 0)
             first = triples >> 32
+            ahead = np.where(pair[at + 2] > 0, ids[at + 3], 0)
             yield stripes_of(lang, number, ahead, [a[first], b[first], triples & 0xFFFFFFFF], words)
     return run
 
@@ -155,32 +203,27 @@ def merged(stripes: DataFrame, least: int) -> DataFrame:
     return rows.groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def _hashed(pair: bool):
-    """``hash`` of each row's word, or of its prefix and next word."""
-    def run(batches):
-        for batch in batches:
-            langs = column(batch, "lang").to_pylist()
-            columns = [list(rows_of(batch, c)) for c in (("prefix", "next") if pair else ("prefix",))]
-            h = [np.array([word_hash(g, w) for g, w in zip(langs, c)], np.uint64) for c in columns]
-            yield pa.record_batch({"hash": pa.array((pair_hash(*h) if pair else h[0]).view(np.int64))})
-    return run
+def _hashed(batches):
+    """``hash`` of each row's word."""
+    for batch in batches:
+        hashes = [word_hash(g, w) for g, w in zip(column(batch, "lang").to_pylist(), rows_of(batch, "word"))]
+        yield pa.record_batch({"hash": pa.array(np.array(hashes, np.uint64).view(np.int64))})
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """Words per language (lang, n); and merged stripes (lang, prefix, next, f) of frequency ``least`` and more."""
-    texts = docs.select("lang", "text")
-    spark = docs.sparkSession
+    texts, told = docs.select("lang", "text"), docs.sparkSession.sparkContext.broadcast
     counted = texts.mapInArrow(_words, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
-    # One pass over the counts: frequent words as they are, the rest summed by language under a null word.
+    # Frequent words as they are, the rest summed by language under a null word.
     frequent = F.when(F.col("f") >= least, F.col("word"))
-    words = stage(counted.groupBy("lang", frequent.alias("prefix")).agg(F.sum("f").alias("f")), "words")
-    sizes = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    known = spark.sparkContext.broadcast(bloom_of(words.where("prefix is not null").select("lang", "prefix").mapInArrow(_hashed(False), "hash long")))
-    single = stage(merged(texts.mapInArrow(_stripes(known, None), STRIPE), least), "stripes")
-    pairs = single.where("next is not null").select("lang", "prefix", "next").mapInArrow(_hashed(True), "hash long")
-    paired = spark.sparkContext.broadcast(bloom_of(pairs))
-    longer = stage(merged(texts.mapInArrow(_stripes(known, paired), STRIPE), least), "stripes")
-    return sizes, single.unionByName(longer)
+    words = stage(counted.groupBy("lang", frequent.alias("word")).agg(F.sum("f").alias("f")), "words")
+    known = told(bloom_of(words.where("word is not null").mapInArrow(_hashed, "hash long")))
+    total = words.agg(F.sum("f")).head()[0] or 0
+    bits = min(32, max(8, (total // IN_PART).bit_length()))  # parts of about IN_PART pairs at any size
+    packed = texts.mapInArrow(_pairs(known, bits), "part long, once binary, more binary")
+    paired = told(bloom_of(packed.groupBy("part").applyInArrow(_frequent_pairs(least), "hash long")))
+    elements = stage(merged(texts.mapInArrow(_stripes(known, paired, bits), STRIPE), least), "stripes")
+    return words.groupBy("lang").agg(F.sum("f").alias("n")), elements
 
 
 def phrase_of(prefix: Column, following: Column) -> Column:
