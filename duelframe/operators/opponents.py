@@ -11,6 +11,24 @@ from .history import Prefix, Trailing
 
 KEY = ["side_id"]
 
+#: Skills and adjusted numbers are multiples of one over this power of two. Doubles hold sums of such numbers
+#: exactly up to 2 ** 23, in any order, so windows and means do not depend on how rows are dealt to tasks.
+UNITS = 1 << 30
+
+
+def fixed(value: Column) -> Column:
+    """``value`` at the nearest multiple of 1 / UNITS."""
+    return F.floor(value * F.lit(float(UNITS)) + F.lit(0.5)).cast("double") / F.lit(float(UNITS))
+
+
+def exact_moments(value: Column) -> tuple[Column, Column]:
+    """Mean and sample deviation of fixed-point values from exact integer sums, the same for every order of rows."""
+    units = (value * F.lit(float(UNITS))).cast("long")
+    n = F.count(value)
+    first, second = (F.sum(c.cast("decimal(20,0)")).cast("double") for c in (units, units * units))
+    spread = F.when(n > 1, F.greatest(F.lit(0.0), (second - F.try_divide(first * first, n)) / (n - 1)))
+    return F.try_divide(first, n) / F.lit(float(UNITS)), F.sqrt(spread) / F.lit(float(UNITS))
+
 
 def _cap(value: Column, scale: float) -> Column:
     return F.least(value / F.lit(scale), F.lit(1.0))
@@ -47,10 +65,10 @@ def own_profiles(sides: DataFrame, chunks: DataFrame | None = None) -> DataFrame
     enough = n >= spec.SKILL_MIN_CONTESTS
     return rows.select(
         *sides.columns,
-        F.when(enough & (seen_n > 0), striking).alias("own_striking"),
-        F.when(enough & (seen_n > 0), grappling).alias("own_grappling"),
-        F.when(enough, durability).alias("own_durability"),
-        F.when(n > 0, quality).alias("own_quality"), n.cast("long").alias("own_earlier"),
+        F.when(enough & (seen_n > 0), fixed(striking)).alias("own_striking"),
+        F.when(enough & (seen_n > 0), fixed(grappling)).alias("own_grappling"),
+        F.when(enough, fixed(durability)).alias("own_durability"),
+        F.when(n > 0, fixed(quality)).alias("own_quality"), n.cast("long").alias("own_earlier"),
         F.coalesce("_all", F.lit(0)).alias("n_before"))
 
 
@@ -71,15 +89,14 @@ def zscore_skills(profiled: DataFrame, fit_before: str | None = None) -> DataFra
     ``fit_before`` limits the rows behind mean and deviation to dates before a cutoff.
     """
     fitted = profiled.filter(F.col("contest_date") < F.lit(fit_before).cast("date")) if fit_before else profiled
-    stats = fitted.agg(*[f("raw_opp_" + s).alias(f"_{k}_{s}") for s in spec.SKILLS
-                         for k, f in (("mean", F.avg), ("std", F.stddev_samp))])
+    stats = fitted.agg(*[c.alias(f"_{k}_{s}") for s in spec.SKILLS for k, c in zip(("mean", "std"), exact_moments(F.col("raw_opp_" + s)))])
 
     def scaled(s: str) -> Column:
         std = F.col(f"_std_{s}")
         std = F.when(std > 0, std).otherwise(F.lit(0.1))
         z = F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("raw_opp_" + s) - F.col(f"_mean_{s}")) / std))
         # least and greatest skip nulls, so an unknown score needs its own branch.
-        return F.when(F.col("raw_opp_" + s).isNull(), F.lit(1.0)).otherwise(1 + z * 0.25).alias("opp_" + s)
+        return F.when(F.col("raw_opp_" + s).isNull(), F.lit(1.0)).otherwise(fixed(1 + z * 0.25)).alias("opp_" + s)
 
     # One row, so joining it to every side is a broadcast of fixed size.
     return profiled.join(F.broadcast(stats)).select(*profiled.columns, *[scaled(s) for s in spec.SKILLS])
@@ -91,7 +108,7 @@ def adjust_by_opponent(df: DataFrame) -> DataFrame:
           **{c: grappling for c in ("td_landed", "td_attempted", "sub_attempts", "control_s")}}
     return df.withColumns({
         **{c + "_adj": F.col(c) * k for c, k in by.items()},
-        "kd_adj": F.col("kd") * F.sqrt(striking * F.col("opp_durability")),
+        "kd_adj": fixed(F.col("kd") * F.sqrt(striking * F.col("opp_durability"))),
         "won_adj": F.col("won") * F.col("opp_quality")})
 
 

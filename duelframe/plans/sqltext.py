@@ -119,7 +119,14 @@ SELECT side_id, contest_date, avg_form FROM (SELECT side_id, contest_date, conte
   avg(won) OVER {trailing(5)} AS avg_form,
   row_number() OVER (PARTITION BY side_id, contest_date ORDER BY contest_id) AS first_row FROM bout_sides) WHERE first_row = 1"""
 
-CTE["own_skill"] = """
+def fixed_sql(expr: str) -> str:
+    """The nearest multiple of 2 ** -30."""
+    return f"floor(({expr}) * 1073741824.0::DOUBLE + 0.5) / 1073741824.0::DOUBLE"
+
+
+CTE["own_skill"] = f"SELECT side_id, contest_date, earlier, {', '.join(f'{fixed_sql(s)} AS {s}' for s in spec.SKILLS)} FROM free_skill"
+
+CTE["free_skill"] = """
 SELECT p.side_id, p.contest_date, CAST(n AS BIGINT) AS earlier,
   CASE WHEN n >= 3 AND seen > 0 THEN 0.40 * least(sl / seen / 100, 1.0) + 0.30 * coalesce(sl / nullif(sa, 0), 0.5)
     + 0.20 * greatest(0, 1 - sb / seen / 100) + 0.10 * least(kd / seen / 3, 1.0) END AS striking,
@@ -135,12 +142,16 @@ SELECT s.*, k.striking AS raw_opp_striking, k.grappling AS raw_opp_grappling, k.
   k.quality AS raw_opp_quality, k.earlier AS opp_earlier
 FROM bout_sides s LEFT JOIN own_skill k ON k.side_id = s.opp_id AND k.contest_date = s.contest_date"""
 
+CTE["skill_sums"] = "SELECT " + ", ".join(
+    f"CAST(count({s}) AS DOUBLE) AS n_{s}, CAST(sum({s}) AS DOUBLE) AS s_{s}, CAST(sum({s}::HUGEINT * {s}) AS DOUBLE) AS q_{s}" for s in spec.SKILLS) + (
+    " FROM (SELECT " + ", ".join(f"CAST(raw_opp_{s} * 1073741824 AS BIGINT) AS {s}" for s in spec.SKILLS) + " FROM opp_raw)")
 CTE["skill_stats"] = "SELECT " + ", ".join(
-    f"avg(raw_opp_{s}) AS mean_{s}, CASE WHEN stddev_samp(raw_opp_{s}) > 0 THEN stddev_samp(raw_opp_{s}) ELSE 0.1 END AS std_{s}"
-    for s in spec.SKILLS) + " FROM opp_raw"
+    f"mean_{s}, CASE WHEN std_{s} > 0 THEN std_{s} ELSE 0.1 END AS std_{s}" for s in spec.SKILLS) + " FROM (SELECT " + ", ".join(
+    f"s_{s} / n_{s} / 1073741824 AS mean_{s}, sqrt(greatest(0, (q_{s} - s_{s} * s_{s} / n_{s}) / nullif(n_{s} - 1, 0))) / 1073741824 AS std_{s}"
+    for s in spec.SKILLS) + " FROM skill_sums)"
 
 CTE["opp_scaled"] = "SELECT r.*, " + ", ".join(
-    f"CASE WHEN raw_opp_{s} IS NULL THEN 1.0 ELSE 1 + 0.25 * greatest(-2.0, least(2.0, (raw_opp_{s} - mean_{s}) / std_{s})) END AS opp_{s}"
+    f"CASE WHEN raw_opp_{s} IS NULL THEN 1.0 ELSE {fixed_sql(f'1 + 0.25 * greatest(-2.0, least(2.0, (raw_opp_{s} - mean_{s}) / std_{s}))')} END AS opp_{s}"
     for s in spec.SKILLS) + " FROM opp_raw r CROSS JOIN skill_stats"
 
 CTE["opp_adj"] = """
@@ -148,7 +159,7 @@ SELECT *, sig_landed * opp_striking AS sig_landed_adj, sig_attempted * opp_strik
   tot_landed * opp_striking AS tot_landed_adj, tot_attempted * opp_striking AS tot_attempted_adj,
   td_landed * opp_grappling AS td_landed_adj, td_attempted * opp_grappling AS td_attempted_adj,
   sub_attempts * opp_grappling AS sub_attempts_adj, control_s * opp_grappling AS control_s_adj,
-  kd * sqrt(opp_striking * opp_durability) AS kd_adj, won * opp_quality AS won_adj FROM opp_scaled"""
+  floor(kd * sqrt(opp_striking * opp_durability) * 1073741824.0::DOUBLE + 0.5) / 1073741824.0::DOUBLE AS kd_adj, won * opp_quality AS won_adj FROM opp_scaled"""
 
 _ROLL = {"adj_win_rate": "won_adj", "opp_striking": "opp_striking", "opp_grappling": "opp_grappling", "opp_quality": "opp_quality",
          "adj_sig_landed": "sig_landed_adj", "adj_td_landed": "td_landed_adj", "adj_control": "control_s_adj", "adj_kd": "kd_adj"}
