@@ -26,6 +26,7 @@ NAMES = ("career_counts", "rolling_last_n", "opponent_profile_asof", "zscore_ski
          "match_contest_pair", "match_gaps", "fuzzy_best_match", "ledger_lock", "attach_odds", "top_factors", "extract_event_list",
          "extract_contest_rows", "date_band_join")
 # Queries whose input is the table of matchups.
+OVER_MATCHED = {"match_gaps"}  # reports on what matching left over
 OVER_MATCHUPS = {"latest_snapshot", "binary_metrics", "segment_report", "style_matrix", "stratified_folds", "top_factors"}
 
 
@@ -55,11 +56,11 @@ def main() -> None:
     def measured(folder: str) -> tuple[dict[str, float], Tables]:
         result = {"feature_table": timed(lambda: drain(Tables(spark, folder, staged=("sides", "profiled")).feature_table())),
                   "contests": timed(lambda: drain(Tables(spark, folder, staged=False).contests))}
-        shared = Tables(spark, folder, staged=(*inputs, "matchups"))
-        for name in (*inputs, "matchups"):
+        shared = Tables(spark, folder, staged=(*inputs, "matchups", "matched"))
+        for name in (*inputs, "matchups", "matched"):
             getattr(shared, name)
         for name in NAMES:
-            held = (*inputs, "matchups") if name in OVER_MATCHUPS else inputs
+            held = (*inputs, *(["matchups"] if name in OVER_MATCHUPS else []), *(["matched"] if name in OVER_MATCHED else []))
             result[name] = timed(lambda: drain(registry.plain_types(registry.BUILDS[name](Tables.sharing(shared, held)))))
         return result, shared
 

@@ -5,6 +5,9 @@ get candidates from a segment index that is complete for the asked threshold: a
 length L that may differ by at most K edits is cut into K + 1 segments, and any partner
 within K edits contains one of them, nearly in place. Segments are an ordinary equi-join
 key, so Spark hashes them and can split a frequent one. Scores are computed on candidates only.
+
+Inside a scope (a card) of at most DIRECT name pairs, names meet directly and are dropped by their lengths and letter counts:
+at low thresholds segments shrink to a letter or two and would hit nearly all names of the scope, many times.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import names
 
 THRESHOLD = 0.85
+#: Name pairs of one scope up to which they are compared directly; larger scopes go through the segment index.
+DIRECT = 1 << 22
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SCORES = {"edit": names.edit_similarity, "gestalt": names.gestalt_similarity}
 
 
@@ -63,6 +69,37 @@ def name_candidates(left: DataFrame, right: DataFrame, metric: str = "edit", thr
     return probes.join(index, [*by, "lb", "i", "part"]).select(*by, "left_key", "right_key").distinct()
 
 
+def letter_bits(key: Column) -> Column:
+    """Two bits a letter: it occurs, it occurs twice. Two names differ in no more bits than letters were added or removed."""
+    bits = F.lit(0).cast("long")
+    for i, letter in enumerate(LETTERS):
+        times = F.length(key) - F.length(F.replace(key, F.lit(letter), F.lit("")))
+        bits = bits + F.when(times > 1, F.lit((1 << i) | (1 << (i + 26)))).when(times > 0, F.lit(1 << i)).otherwise(F.lit(0))
+    return bits
+
+
+def bounded_pairs(left: DataFrame, right: DataFrame, metric: str, threshold: float, scope: list[str]) -> DataFrame:
+    """(scope, left_key, right_key) pairs of a scope's names that lengths and letter counts allow to score the threshold."""
+    side = lambda df, name, n, bits: df.select(*scope, F.col("key").alias(name), F.length("key").alias(n), letter_bits(F.col("key")).alias(bits))
+    _, _, pair, _ = _bounds(metric, threshold)
+    both = side(left, "left_key", "la", "left_bits").join(side(right, "right_key", "lb", "right_bits"), scope)
+    # A substitution adds one letter and removes another; each letter of difference in length is an edit without a pair.
+    letters = f"2 * {pair} - abs(la - lb)" if metric == "edit" else pair
+    return both.filter(f"abs(la - lb) <= {pair} AND bit_count(left_bits ^ right_bits) <= {letters}").select(*scope, "left_key", "right_key")
+
+
+def scoped_names(left: DataFrame, right: DataFrame, metric: str, threshold: float, scope: list[str]) -> DataFrame:
+    """(scope, left_key, right_key, score) of all pairs of a scope's distinct names that score at least the threshold."""
+    count = lambda df, n: df.groupBy(*scope).agg(F.count(F.lit(1)).alias(n))
+    sizes = count(left, "nl").join(count(right, "nr"), scope)
+    large = sizes.filter(F.col("nl") * F.col("nr") > DIRECT).select(*scope)
+    score = SCORES[metric](F.col("left_key"), F.col("right_key"))
+    held = lambda df, how: df.join(large, scope, how)
+    direct = bounded_pairs(held(left, "left_anti"), held(right, "left_anti"), metric, threshold, scope)
+    through_index = name_candidates(held(left, "left_semi"), held(right, "left_semi"), metric, threshold, scope)
+    return direct.unionByName(through_index).withColumn("score", score).filter(F.col("score") >= threshold)
+
+
 def similar_names(left: DataFrame, right: DataFrame, metric: str = "edit", threshold: float = THRESHOLD) -> DataFrame:
     """(left_key, right_key, score) for all pairs of distinct names scoring at least the threshold."""
     pairs = name_candidates(left, right, metric, threshold)
@@ -113,8 +150,7 @@ def _pair_candidates(left: DataFrame, right: DataFrame, scope: list[str], metric
     lm, rm = members(left, "l_id"), members(right, "r_id")
     ln, rn = lm.select(*scope, F.col("l_key").alias("key")).distinct(), rm.select(*scope, F.col("r_key").alias("key")).distinct()
     same = ln.join(rn, [*scope, "key"]).select(*scope, F.col("key").alias("left_key"), F.col("key").alias("right_key"))
-    close = name_candidates(ln.filter("key <> ''"), rn.filter("key <> ''"), metric, threshold, scope).filter("left_key <> right_key")
-    close = close.filter(SCORES[metric](F.col("left_key"), F.col("right_key")) >= threshold)
+    close = scoped_names(ln.filter("key <> ''"), rn.filter("key <> ''"), metric, threshold, scope).filter("left_key <> right_key").drop("score")
     reach = lm.join(same.unionByName(close).withColumnsRenamed({"left_key": "l_key", "right_key": "r_key"}), [*scope, "l_key"])
     return reach.join(rm, [*scope, "r_key"]).select("l_id", "r_id").distinct()
 
