@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .asof import asof_join
 
 # Contest numbers to a cell, and contests to a part of an event document.
 CELL, PART = 4_096, 500
@@ -52,12 +53,24 @@ def serving_features(upcoming: DataFrame, snapshot: DataFrame, features: list[st
     ``upcoming`` has contest_id, contest_date, side_id. The gap since the last contest is
     recomputed only when the date is later than that contest.
     """
-    joined = upcoming.join(snapshot, "side_id", "left")
+    return _served(upcoming.join(snapshot, "side_id", "left"), upcoming.columns, features)
+
+
+def serving_features_asof(upcoming: DataFrame, history: DataFrame, features: list[str], cell_days: int | None = 730) -> DataFrame:
+    """As ``serving_features``, but each contest sees the state of its sides strictly before its own date.
+
+    ``history`` has a row per side and contest: side_id, contest_date, contest_id and the features.
+    """
+    joined = asof_join(upcoming, history, ["side_id"], "contest_date", features, ["contest_id"], cell_days=cell_days)
+    return _served(joined.withColumnRenamed("contest_date_asof", "last_date"), upcoming.columns, features)
+
+
+def _served(joined: DataFrame, columns: list[str], features: list[str]) -> DataFrame:
     days = F.date_diff("contest_date", "last_date")
     out = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(DEBUT_FEATURES.get(f, 0.0)))) for f in features}
     if "days_since_last" in out:
         out["days_since_last"] = F.when(days > 0, days.cast("double")).otherwise(out["days_since_last"])
-    return joined.select(*upcoming.columns, F.col("last_date").isNotNull().alias("known"), *[c.alias(f) for f, c in out.items()])
+    return joined.select(*columns, F.col("last_date").isNotNull().alias("known"), *[c.alias(f) for f, c in out.items()])
 
 
 def resolve_names(announced: DataFrame, competitors: DataFrame, metric: str = "edit") -> DataFrame:

@@ -310,16 +310,16 @@ def _(t):
 
 
 def _upcoming(t):
-    """Every pair of customers' and suppliers' keys met in orders, announced for the day after the last one."""
-    o = t.read("orders")
-    last = o.agg(F.date_add(F.max(C("o_orderdate").cast("date")), 1).alias("contest_date"))
-    side = lambda r, c: F.struct(F.lit(r).alias("role"), C(c).alias("side_id"))
-    rows = o.select(C("o_orderkey").alias("contest_id"), F.explode(F.array(side(1, "o_custkey"), side(2, "o_orderkey"))).alias("s"))
+    """Every contest announced again for the day after the last one; in each thirteenth a newcomer steps in for the second side."""
+    last = t.contests.agg(F.date_add(F.max("contest_date"), 1).alias("contest_date"))
+    second = F.when(C("contest_id") % 13 == 0, -C("blue_id")).otherwise(C("blue_id"))
+    side = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("side_id"))
+    rows = t.contests.select("contest_id", F.explode(F.array(side(1, C("red_id")), side(2, second))).alias("s"))
     return rows.join(F.broadcast(last)).select("contest_id", "contest_date", "s.role", "s.side_id")
 
 
-_UP = dict(up="""SELECT o_orderkey AS contest_id, (SELECT max(CAST(o_orderdate AS DATE)) + 1 FROM orders) AS contest_date, 1 AS role, o_custkey AS side_id FROM orders
-  UNION ALL SELECT o_orderkey, (SELECT max(CAST(o_orderdate AS DATE)) + 1 FROM orders), 2, o_orderkey FROM orders""")
+_UP = dict(up="""SELECT contest_id, (SELECT max(contest_date) + 1 FROM bouts) AS contest_date, 1 AS role, red_id AS side_id FROM bouts
+  UNION ALL SELECT contest_id, (SELECT max(contest_date) + 1 FROM bouts), 2, CASE WHEN contest_id % 13 = 0 THEN -blue_id ELSE blue_id END FROM bouts""")
 _DEF = serving.DEBUT_FEATURES
 _FEATSQL = ", ".join(
     (f"CASE WHEN s.side_id IS NOT NULL THEN date_diff('day', s.contest_date, u.contest_date) ELSE 365 END + 0.0 AS days_since_last" if f == "days_since_last"
@@ -359,11 +359,11 @@ def _(t):
 
 @query("serving_matchup", sql(f"""
 SELECT a.contest_id, a.side_id AS f1_id, b.side_id AS f2_id, {', '.join(f"{r6(f'a.{f} - b.{f}')} AS diff_{f}" for f in SNAPSHOT_FEATURES)},
-  {r6('a.n_prior / (a.n_prior + b.n_prior + 1)')} AS f1_experience_ratio, {r6('a.win_streak - a.loss_streak - b.win_streak + b.loss_streak')} AS diff_momentum, {r6('0')} AS extra
+  {r6('a.n_prior / (a.n_prior + b.n_prior + 1)')} AS f1_experience_ratio, {r6('a.win_streak - a.loss_streak - b.win_streak + b.loss_streak')} AS diff_momentum
 FROM served a JOIN served b ON a.contest_id = b.contest_id AND a.role = 1 AND b.role = 2""", **_UP))
 def _(t):
     sides = serving.serving_features(_upcoming(t), t.snapshot, SNAPSHOT_FEATURES)
-    return serving.serving_matchup(sides, SNAPSHOT_FEATURES, ["extra"]).select("contest_id", "f1_id", "f2_id", *_SM, "f1_experience_ratio", "diff_momentum", "extra")
+    return serving.serving_matchup(sides, SNAPSHOT_FEATURES).select("contest_id", "f1_id", "f2_id", *_SM, "f1_experience_ratio", "diff_momentum")
 
 
 _FAC = ["diff_win_rate", "diff_win_streak", "diff_loss_streak", "diff_n_prior", "diff_sig_landed_last_5", "diff_td_landed_last_5", "diff_win_rate_last_3"]
@@ -402,20 +402,22 @@ def _(t):
                        F.array_join(F.transform("contests", lambda x: x["contest_id"].cast("string")), ",").alias("card"))
 
 
-_BT = dict(bt="""SELECT *, row_number() OVER (PARTITION BY side_id ORDER BY contest_date DESC, contest_id DESC) AS rn FROM bout_imputed WHERE contest_date < DATE '2000-01-01'""")
+_BT = dict(bt="""SELECT side_id, contest_date, win_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY side_id, contest_date ORDER BY contest_id DESC) AS rn FROM bout_imputed) WHERE rn = 1""")
 
 
 @query("backtest_event", sql(f"""
 SELECT m.contest_id, m.f1_id, m.f2_id, CAST(p > 0.5 AS BIGINT) AS call, CAST(f1_won AS BIGINT) AS f1_won, CAST((p > 0.5) = (f1_won = 1) AS BIGINT) AS hit, {real('p')} FROM (
   SELECT m.contest_id, m.f1_id, m.f2_id, m.f1_won, 1 / (1 + exp(-2 * (coalesce(a.win_rate, 0.52) - coalesce(b.win_rate, 0.52)))) AS p FROM bout_matchups m
-  LEFT JOIN bt a ON a.side_id = m.f1_id AND a.rn = 1 LEFT JOIN bt b ON b.side_id = m.f2_id AND b.rn = 1 WHERE m.contest_date >= {CUTOFF_SQL}) m""", **_BT))
+  ASOF LEFT JOIN bt a ON a.side_id = m.f1_id AND a.contest_date < m.contest_date
+  ASOF LEFT JOIN bt b ON b.side_id = m.f2_id AND b.contest_date < m.contest_date WHERE m.contest_date >= {CUTOFF_SQL}) m""", **_BT))
 def _(t):
-    """Every event from the cutoff on, scored from snapshots strictly before it."""
+    """Every event from the cutoff on, scored from the states of its sides strictly before that event."""
     later = t.matchups.filter(C("contest_date") >= F.lit("2000-01-01").cast("date")).select("contest_id", "contest_date", "f1_id", "f2_id", "f1_won")
-    snap = serving.latest_snapshot(t.matchups, ["win_rate"], before="2000-01-01")
+    history = t.imputed.select("side_id", "contest_date", "contest_id", "win_rate")
     side = lambda r: F.struct(F.lit(r).alias("role"), C(f"f{r}_id").alias("side_id"))
     sides = later.select("contest_id", "contest_date", F.explode(F.array(side(1), side(2))).alias("s")).select("contest_id", "contest_date", "s.*")
-    wide = serving.serving_matchup(serving.serving_features(sides, snap, ["win_rate"]), ["win_rate"])
+    wide = serving.serving_matchup(serving.serving_features_asof(sides, history, ["win_rate"]), ["win_rate"])
     scored = serving.score_contests(wide, 1 / (1 + F.exp(-2 * C("diff_win_rate"))))
     call = (C("p1") > 0.5).cast("int")
     return scored.join(later.select("contest_id", "f1_won"), "contest_id").select(
