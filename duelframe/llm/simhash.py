@@ -128,11 +128,11 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _links(batches):
-    """Links within each run of rows with one group id; a group that batches cut is put together again."""
+    """Links within each run of rows with one key and pair of chunks; a run that batches cut is put together again."""
     held = None
 
     def out(groups: np.ndarray, prints: np.ndarray):
-        cuts = np.flatnonzero(np.diff(groups)) + 1
+        cuts = np.flatnonzero(np.diff(groups).any(axis=0)) + 1
         a, b = [], []
         for part in np.split(prints, cuts):
             if len(part) > 1:
@@ -144,14 +144,14 @@ def _links(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        groups = column(batch, "group").to_numpy(zero_copy_only=False)
+        groups = np.stack([column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "pair")])
         prints = column(batch, "fp").to_numpy(zero_copy_only=False).view(np.uint64)
         if held:
-            groups, prints = np.concatenate([held[0], groups]), np.concatenate([held[1], prints])
-        others = np.flatnonzero(groups != groups[-1])
+            groups, prints = np.concatenate([held[0], groups], axis=1), np.concatenate([held[1], prints])
+        others = np.flatnonzero((groups != groups[:, -1:]).any(axis=0))
         last = int(others[-1]) + 1 if len(others) else 0
-        yield from out(groups[:last], prints[:last])
-        held = groups[last:], prints[last:]
+        yield from out(groups[:, :last], prints[:last])
+        held = groups[:, last:], prints[last:]
     if held:
         yield from out(*held)
 
@@ -168,10 +168,10 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda d: F.struct(F.least("mine", d).alias("i"), F.greatest("mine", d).alias("j")))
     dealt = (keyed.join(sizes, "key").select("fp", "key", parts.alias("parts")).withColumn("mine", mine)
              .select("fp", "key", F.explode(pair).alias("pair")))
-    # The pair of chunks goes above the 35 bits of the key.
-    group = F.col("key") + (F.col("pair.i") * 16_384 + F.col("pair.j")).cast("long") * F.lit(2 ** 35)
-    grouped = dealt.select("fp", group.alias("group"))
-    return grouped.repartition("group").sortWithinPartitions("group", "fp").mapInArrow(_links, "a long, b long")
+    # A group is a key and a pair of its chunks; the pair has a number of its own, so a bucket may have any number of chunks.
+    pair_id = F.shiftleft(F.col("pair.i").cast("long"), 32).bitwiseOR(F.col("pair.j").cast("long"))
+    grouped = dealt.select("fp", "key", pair_id.alias("pair"))
+    return grouped.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(_links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
