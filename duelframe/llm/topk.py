@@ -57,7 +57,7 @@ def rotations(rows: DataFrame) -> dict[int, np.ndarray]:
     """An orthogonal basis by number of components, from a sample of bounded size."""
     total = rows.count()
     share = min(1.0, FIT_ROWS / max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("dim", "v").limit(2 * FIT_ROWS).collect()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < share * (1 << 40)).select("dim", "v").limit(2 * FIT_ROWS).collect()
     out = {}
     for dim in {r.dim for r in sample if r.dim}:
         m = np.array([r.v for r in sample if r.dim == dim], float)
