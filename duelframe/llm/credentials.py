@@ -25,9 +25,9 @@ from .common import KEY, checked_join, content_key
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-# The weak parts.
+# The weak parts. A mixed string is looked through from its head alone, possessively, so its length costs linear time.
 IDENTIFIER = r"""\b(?i:access_?key_?id|access_?id|client_?id|app_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.-]+"""
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[a-z0-9+/_-]{0,40}[A-Z])(?=[A-Z0-9+/_-]{0,40}[a-z])[A-Za-z0-9+/_-]{20,}+"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
 ADDRESS = r"\b(?:https?|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ssh|ftp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "mixed": MIXED, "address": ADDRESS}
 STRONG = ("assign", "access", "hex")

@@ -282,3 +282,19 @@ def collocations(docs, least, top):
             score, _, (l, r) = min((2_000_000 * a // (l + r), k, (l, r)) for k, (l, r) in enumerate(cuts))
             rows.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), l, r))
     return [(lang, i + 1, p.decode(), -a, l, r, n[lang], -s) for lang, found in rows.items() for i, (s, a, p, l, r) in enumerate(sorted(found)[:top])]
+
+
+def linked_secrets(text: str | None, kinds: dict[str, str], roles: dict[str, str], scope: int, shortest: int) -> list[tuple[str, int, int]]:
+    """Reported parts of a text of ASCII characters by comparing all pairs of its parts."""
+    parts = []
+    for kind, pattern in kinds.items():
+        for m in re.finditer(pattern, text or ""):
+            if kind != "assign" or len(m.group(1)) >= shortest:
+                parts.append((m.start(), list(kinds).index(kind), m.end(), kind))
+    out = []
+    for a, rank, b, kind in parts:
+        near = {roles[k] for c, _, d, k in parts if abs(a - c) <= scope and (b <= c or d <= a)}
+        enough = {"id": "secret" in near, "secret": bool({"id", "address"} & near), "address": {"id", "secret"} <= near}[roles[kind]]
+        if kind in ("assign", "access", "hex") or enough:
+            out.append((a, rank, b, kind))
+    return [(kind, a, b) for a, _, b, kind in sorted(out)]

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on the awkward rows."""
 
 import random
+import time
 import re
 
 import fixtures
@@ -148,6 +149,23 @@ def test_weak_parts_need_their_complements(spark):
     assert kinds[11] == ["address", "identifier"]
 
 
+def test_links_match_brute_force(spark):
+    rng = random.Random(5)
+    parts = ["client_id: shop12", "login=ann_9", "password=letmein1", "Ab3dEf6hIj9lMn2pQr5tUv8x", "https://db.example.org/x?y=1", "redis://h:1", "AKIA" + "C" * 16,
+             "f0" * 14, "aB" * 100 + "9", "token: x", "A" * 300 + "b1"]
+    texts = [doc(i, " ".join(rng.choice(parts) if rng.random() < 0.4 else "pad " * rng.randint(1, 40) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in credentials.find_credentials(frame(spark, texts)).collect()}
+    expected = {r[0]: oracle.linked_secrets(r[1], credentials.KINDS, credentials.ROLES, credentials.SCOPE, credentials.SHORTEST) for r in texts}
+    assert found == expected
+    assert sum(k not in credentials.STRONG for spans in found.values() for k, _, _ in spans) > 50
+
+
+def test_mixed_strings_have_no_longest_head(spark):
+    late = "aB" * 100 + "9"  # its first digit comes after 200 letters
+    rows = credentials.find_credentials(frame(spark, [doc(1, f"client_id: shop12 {late}"), doc(2, "login=x9 " + "aB" * 500_000 + "7")])).collect()
+    assert {r.doc_id: [s.kind for s in r.spans] for r in rows} == {1: ["identifier", "mixed"], 2: ["identifier", "mixed"]}
+
+
 def test_redaction_masks_reported_spans(spark):
     out = credentials.redact(frame(spark, SECRETS))
     assert out.columns == frame(spark).columns and out.count() == len(SECRETS)
@@ -190,6 +208,13 @@ def test_addresses_with_thousands_of_zeros():
     assert pii.strict_spans(f"{zeros}256.1.1.1") == []
 
 
+def test_runs_of_a_million_digits_take_linear_time():
+    start = time.monotonic()
+    for text in ("7" * 1_000_000, "1.2." + "7" * 1_000_000, "7-" * 500_000):
+        pii.weak_spans(text, pii.strict_spans(text))
+    assert time.monotonic() - start < 10  # a quadratic scan takes more than half an hour
+
+
 def test_votes_learn_which_labelers_to_trust():
     patterns = {"email 1 0 1 1 1 1": 60, "phone 1 1 0 1 1 1": 40, "phone_local 0 1 0 1 1 1": 20, "phone_local 0 -1 0 -1 -1 1": 30, "card_like 0 -1 -1 -1 -1 2": 50}
     model = pii.learn(patterns)
