@@ -4,6 +4,10 @@ Markup of a template: ``[[words]]`` may be left out, ``{{n}}`` stands for up to
 wording. The automaton has a state for each place between words; texts are accepted from a start where its mandatory wording
 matches exactly. Case and punctuation do not count, as both sides are cut into words the same way.
 
+A statement names its license and is complete in itself ("licensed under the MIT license"). A whole text is accepted only to its
+last mandatory word: a license whose continuation was altered does not get its label, only ``<label>-opening`` if the clause that
+opens it stands, and a score below 1.
+
 Defined results: a null text is empty, has no words and score 0. Places of base phrases may overlap and each counts.
 Repeated rows each get a row.
 """
@@ -21,8 +25,8 @@ from .common import column, rows_of, slices
 # Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Template wording by label.
-TEMPLATES = {
+# Statements by label.
+STATEMENTS = {
     "cc-by": ["[[this work is]] licensed under [[a]] [[the]] creative commons attribution {{6}} license", "licensed under [[a]] [[the]] cc by {{3}}"],
     "cc-by-nc": ["licensed under [[a]] [[the]] cc by nc {{3}}", "creative commons attribution non commercial", "creative commons attribution noncommercial"],
     "cc-by-sa": ["licensed under [[a]] [[the]] cc by sa {{3}}", "creative commons attribution share alike", "creative commons attribution sharealike"],
@@ -30,15 +34,85 @@ TEMPLATES = {
     "gpl": ["licensed under the [[terms of the]] [[gnu]] general public license [[as published by the free software foundation]] [[either]] version {{1}}",
             "you can redistribute it and or modify it under the terms of the gnu general public license"],
     "lgpl": ["under the terms of the gnu lesser general public license"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{4}} to deal in the software without restriction",
-            "licensed under the mit license", "released under the mit license"],
+    "mit": ["licensed under the mit license", "released under the mit license"],
     "apache-2.0": ["licensed under the apache license version 2 0 [[the license]]", "under the apache license version 2 0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "licensed under the {{3}} bsd license"],
+    "bsd": ["licensed under the {{3}} bsd license"],
     "mpl-2.0": ["subject to the terms of the mozilla public license v 2 0", "subject to the terms of the mozilla public license version 2 0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
     "copyright": ["copyright [[c]] {{4}} all rights reserved"],
 }
 
+# Clauses that open a license, by the label of the license.
+OPENINGS = {
+    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {{4}} to deal in the software without restriction"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted"],
+    "isc": ["permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"],
+}
+
+# Whole license texts and notices, by label.
+_NO_CLAIM = """be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+    arising from out of or in connection with the software or the use or other dealings in the software"""
+_AS_IS = """the software is provided as is without warranty of any kind express or implied
+    including but not limited to the warranties of merchantability fitness for a particular purpose"""
+_ISC_END = """the software is provided as is and {{12}} disclaims all warranties with regard to this software including all implied
+    warranties of merchantability and fitness in no event shall {{12}} be liable for any special direct indirect or consequential damages
+    or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+    action arising out of or in connection with the use or performance of this software"""
+_BSD_TERMS = """provided that the following conditions are met {{1}} redistributions of source code must retain the above copyright notice
+    this list of conditions and the following disclaimer {{1}} redistributions in binary form must reproduce the above copyright notice this
+    list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_NAMES = """{{1}} neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from
+    this software without specific prior written permission"""
+_BSD_END = """this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied
+    warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct
+    indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+    loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability
+    or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such
+    damage"""
+TEXTS = {
+    "mit": [f"""{OPENINGS["mit"][0]} including without limitation the rights to use copy modify merge publish distribute sublicense and or
+        sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or
+        substantial portions of the software {_AS_IS} and noninfringement in no event shall {{{{12}}}} {_NO_CLAIM}"""],
+    "bsl-1.0": [f"""permission is hereby granted free of charge to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the
+        software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so
+        all subject to the following the copyright notices in the software and this entire statement including the above license grant
+        this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all
+        derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code
+        generated by a source language processor {_AS_IS} title and non infringement in no event shall the copyright holders or anyone
+        distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of
+        or in connection with the software or the use or other dealings in the software"""],
+    "isc": [f"""{OPENINGS["isc"][0]} provided that the above copyright notice and this permission notice appear in all copies {_ISC_END}"""],
+    "0bsd": [f"{OPENINGS['isc'][0]} {_ISC_END}"],
+    "bsd-2-clause": [f"{OPENINGS['bsd'][0]} {_BSD_TERMS} {_BSD_END}"],
+    "bsd-3-clause": [f"{OPENINGS['bsd'][0]} {_BSD_TERMS} {_BSD_NAMES} {_BSD_END}"],
+    "zlib": ["""this software is provided as is without any express or implied warranty in no event will the authors be held liable for any
+        damages arising from the use of this software permission is granted to anyone to use this software for any purpose including
+        commercial applications and to alter it and redistribute it freely subject to the following restrictions {{1}} the origin of this
+        software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product
+        an acknowledgment in the product documentation would be appreciated but is not required {{1}} altered source versions must be
+        plainly marked as such and must not be misrepresented as being the original software {{1}} this notice may not be removed or
+        altered from any source distribution"""],
+    "unlicense": [f"""this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+        compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non
+        commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and
+        all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to
+        the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all
+        present and future rights to this software under copyright law {_AS_IS} and noninfringement in no event shall the authors
+        {_NO_CLAIM}"""],
+    "apache-2.0": ["""licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
+        license you may obtain a copy of the license at {{8}} unless required by applicable law or agreed to in writing software
+        distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or
+        implied see the license for the specific language governing permissions and limitations under the license"""],
+    "gpl-or-later": ["""this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version {{1}} of the license or at your option any later version this
+        program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public license for more details"""],
+}
+
+#: End of the label of a text of which only the opening clause stands; such a template scores nothing of its own.
+OPENS = "-opening"
+
 SPACES = bytes(i if 48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256)).lower()
 
 
@@ -104,6 +178,14 @@ class Automaton:
         return False, best / max(1, need)
 
 
+def templates_of(statements: dict[str, list[str]], texts: dict[str, list[str]], openings: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Templates by the label that they give."""
+    out = {label: list(found) for label, found in statements.items()}
+    for label, found in texts.items():
+        out.setdefault(label, []).extend(found)
+    return out | {label + OPENS: found for label, found in openings.items()}
+
+
 def compile_templates(templates: dict[str, list[str]]) -> dict[bytes, list[Automaton]]:
     """Automata by the words with which they can begin."""
     out: dict[bytes, list[Automaton]] = {}
@@ -138,11 +220,15 @@ def scan(text: bytes, phrases: dict[tuple[bytes, ...], str], automata: dict[byte
     labels, score = set(base), 0.5 if base else 0.0
     for word in kinds & automata.keys():
         for at in places(words, (word,)):
+            whole, opened = set(), set()
             for automaton in automata[word]:
                 accepted, share = automaton.match(words, at)
+                if automaton.label.endswith(OPENS):
+                    opened |= {automaton.label} if accepted else set()
+                    continue
                 score = max(score, share)
-                if accepted:
-                    labels.add(automaton.label)
+                whole |= {automaton.label} if accepted else set()
+            labels |= whole or opened
     starts = [p for found in base.values() for p in found]
     return {"n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": float(score)}
@@ -152,7 +238,7 @@ OUT = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "l
        "labels": pa.string(), "score": pa.float64()}
 
 
-def scan_licenses(docs: DataFrame, carry: list[str] | None = None, templates: dict[str, list[str]] = TEMPLATES,
+def scan_licenses(docs: DataFrame, carry: list[str] | None = None, templates: dict[str, list[str]] | None = None,
                   phrases: dict[str, str] = PHRASES) -> DataFrame:
     """``carry`` (doc_id), the places and labels of base phrases, labels with those of accepted templates, and score.
 
@@ -161,7 +247,7 @@ def scan_licenses(docs: DataFrame, carry: list[str] | None = None, templates: di
     """
     carry = carry or ["doc_id"]
     cut = {tuple(words_of(p.encode())): label for p, label in phrases.items()}
-    automata = compile_templates(templates)
+    automata = compile_templates(templates_of(STATEMENTS, TEXTS, OPENINGS) if templates is None else templates)
 
     def run(batches):
         for batch in slices(batches, "text"):

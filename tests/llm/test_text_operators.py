@@ -251,11 +251,43 @@ def test_base_phrases_match_brute_force(spark):
     assert got(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(
         ((r[0], *places(r[1])) for r in LICENSES), key=repr)
     labels = {r.doc_id: (r.labels, r.score) for r in found.collect()}
-    assert labels[2] == ("cc-by,cc-by-nc", 1.0) and labels[3] == ("gpl", 1.0) and labels[9] == ("mit", 1.0)
+    assert labels[2] == ("cc-by,cc-by-nc", 1.0) and labels[3] == ("gpl", 1.0)
+    assert labels[9][0] == "mit-opening" and 0 < labels[9][1] < 0.5  # the clause that opens the license is not the license
     assert labels[10][0] == "" and 0 < labels[10][1] < 1 and labels[8] == ("", 0.0) and labels[6] == ("", 0.0)
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def licensed(label, holder="the authors or copyright holders"):
+    """The first whole text of a license, regions filled."""
+    text = re.sub(r"\[\[(.*?)\]\]", r"\1", licenses.TEXTS[label][0])
+    return re.sub(r"\{\{(\d+)\}\}", lambda m: holder if m.group(1) == "12" else "1", text)
+
+
+def test_whole_texts_are_accepted_to_their_last_mandatory_word():
+    automata = licenses.compile_templates(licenses.templates_of(licenses.STATEMENTS, licenses.TEXTS, licenses.OPENINGS))
+
+    def labels(text):
+        found = licenses.scan(text.encode(), {}, automata)
+        return set(found["labels"].split(",")), found["score"]
+    rng = random.Random(8)
+    for label in licenses.TEXTS:
+        for holder in ("the authors or copyright holders", "Example Org, Inc."):
+            found, score = labels(f"Copyright 2020 {holder}. " + licensed(label, holder).upper() + " and more words")
+            assert label in found and score == 1.0, label
+            assert not any(x.endswith(licenses.OPENS) for x in found), (label, found)
+        words = licensed(label).split()
+        for _ in range(20):  # one mandatory word of the text is another one, or the text ends early
+            i = rng.randrange(len(words))
+            assert label not in labels(" ".join(words[:i]))[0] or label in licenses.STATEMENTS
+            if words[i] not in ("1", *"the authors or copyright holders including next paragraph".split()):
+                found, score = labels(" ".join([*words[:i], "otherwise", *words[i + 1:]])) if words[i] != "otherwise" else (set(), 0)
+                assert label not in found or label in licenses.STATEMENTS, (label, i, words[i])
+    opened = licensed("mit").split(" including without limitation")[0]
+    found, score = labels(opened + " except for military use, which is forbidden")
+    assert found == {"mit-opening"} and 0 < score < 0.5
+    assert labels(licensed("bsd-3-clause"))[0] == {"bsd-3-clause"} and labels(licensed("0bsd"))[0] == {"0bsd"}
+
+
 def test_automaton_accepts_what_a_regular_expression_accepts():
     rng = random.Random(2)
     template, pattern = "a [[b c]] d {{2}} e [[f]] g", re.compile(r"a (b c )?d (\w )?(\w )?e (f )?g( |$)")
