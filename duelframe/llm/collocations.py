@@ -1,8 +1,9 @@
 """Phrase collocations by the stripes pattern.
 
 A stripe is a prefix of one to three words with an associative counter of the words that follow it. Tasks build the
-stripes of a batch of texts; stripes of one prefix are merged elementwise. Each stripe also has one element without a
-next word: the prefix total, which counts places where the piece ends or the next word is rare as well. The merged
+stripes of a batch of texts; stripes of one prefix are merged elementwise. The stripe of a single word also has one element without
+a next word: the prefix total, which counts places where the piece ends or the next word is rare as well; the total of a longer
+prefix is the element of its last word in the stripe of the words before, from which it is read after the merge. The merged
 structure gives everything a score needs: elements are the frequencies of extended phrases, totals those of prefixes,
 and the largest element of a stripe is the right-hand subsumption maximum (elements seen from their last words give
 the left-hand one). Containment in a phrase two words longer needs no look of its own: the phrase between is at least as frequent.
@@ -152,8 +153,12 @@ def _frequent_pairs(least: int):
 
 
 def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tuple[np.ndarray, ...]], words: pa.Array) -> pa.RecordBatch:
-    """One row per prefix: its total and, for each next word but 0, a count. ``names`` has the word numbers of each prefix by number."""
+    """One row per prefix: the total of a single word and, for each next word but 0, a count. ``names`` has the word numbers of each prefix by number."""
+    single = len(names) == 1
     keys, counts = np.unique(prefix.astype(np.int64) << 32 | nexts, return_counts=True)
+    if not single:
+        followed = (keys & 0xFFFFFFFF) > 0
+        keys, counts = keys[followed], counts[followed]
     own, follow = keys >> 32, keys & 0xFFFFFFFF
     first = np.flatnonzero(np.diff(own, prepend=-1))
     totals = np.add.reduceat(counts, first) if len(first) else counts
@@ -162,7 +167,7 @@ def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tup
     element = pa.StructArray.from_arrays([words.take(pa.array(follow[kept])), pa.array(counts[kept])], names=["next", "f"])
     text = [words.take(pa.array(part[own[first]])) for part in names]
     joined = text[0] if len(text) == 1 else pc.binary_join_element_wise(*text, " ")
-    return pa.record_batch({"lang": pa.array([lang] * len(first), pa.string()), "prefix": joined, "total": pa.array(totals),
+    return pa.record_batch({"lang": pa.array([lang] * len(first), pa.string()), "prefix": joined, "total": pa.array(totals) if single else pa.nulls(len(first), pa.int64()),
                             "stripe": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), element)})
 
 
@@ -198,9 +203,14 @@ STRIPE = "lang string, prefix string, total long, stripe array<struct<next:strin
 
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """Elementwise sums (lang, prefix, next, f) of stripes, elements of at least ``least``; ``next`` is null in the prefix total."""
-    total = F.array(F.struct(F.lit(None).cast("string").alias("next"), F.col("total").alias("f")))
+    one = F.array(F.struct(F.lit(None).cast("string").alias("next"), F.col("total").alias("f")))
+    total = F.when(F.col("total").isNotNull(), one).otherwise(F.array().cast(stripes.schema["stripe"].dataType))
     rows = stripes.select("lang", "prefix", F.inline(F.concat(total, "stripe")))
-    return rows.groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    summed = rows.groupBy("lang", "prefix", "next").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    own = F.struct("prefix", "next", "f")
+    longer = F.struct(phrase_of(F.col("prefix"), F.col("next")).alias("prefix"), F.lit(None).cast("string").alias("next"), "f")
+    short = F.col("next").isNotNull() & (F.size(F.split("prefix", " ")) < LONGEST - 1)  # a phrase that is a prefix itself
+    return summed.select("lang", F.inline(F.when(short, F.array(own, longer)).otherwise(F.array(own))))
 
 
 def _hashed(batches):
