@@ -8,11 +8,11 @@ structure gives everything a score needs: elements are the frequencies of extend
 and the largest element of a stripe is the right-hand subsumption maximum (elements seen from their last words give
 the left-hand one). Containment in a phrase two words longer needs no look of its own: the phrase between is at least as frequent.
 
-A phrase of frequency LEAST has parts of at least that frequency, so three passes build what can matter: words; hashes of
-pairs of frequent words, counted as numbers packed by their leading bits; then all stripes, whose elements end in a frequent pair and whose
-prefixes hold none but frequent ones. Which words and pairs are frequent is told to tasks by Bloom filters of fixed
-size (8 MB); what they let through in error is counted exactly and falls with its count. Hashes and elements are
-merged by Spark's aggregation, elements by (prefix, next word), with map-side combining, so the stripe of a very common
+A phrase of frequency LEAST has parts of at least that frequency, so four passes build what can matter: words; pairs of
+frequent words; triples of frequent pairs; then all stripes, whose elements end a frequent pair or triple. Pairs and triples are counted
+as numbers of hashes packed by their leading bits, three bytes each beside those. What is frequent is told to tasks by Bloom filters of
+fixed size (8 MB); what they or equal numbers let through in error is counted exactly and falls with its count. Elements are
+merged by Spark's aggregation by (prefix, next word), with map-side combining, so the stripe of a very common
 word is spread over all tasks and never held whole.
 
 Defined results: null or empty text has no words; null lang counts as ``und``. Repeated rows all count. Ties in a score
@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelframe.session import stage
@@ -35,8 +36,9 @@ from .decontaminate import bloom_of, in_bloom, mix
 LEAST, LONGEST, SCALE, SUBSUMED, TOP = 30, 4, 2_000_000, 80, 2000
 #: Bytes of text whose stripes are built together, and numbers that a task counts together.
 BATCH, TOGETHER = 2 << 20, 1 << 21
-#: Pairs of words that one part of the pair counts is meant for.
-IN_PART = 1 << 17
+#: Pairs or triples that one part of their counts is meant for, and bits of a number beside those of its part.
+IN_PART, REST = 1 << 17, 24
+LOW = 0xFFFFFFFF
 #: Parts of a language in which the leading phrases are found before the language's own are.
 PARTS = 64
 # End of a piece: stands where no text has a byte.
@@ -53,9 +55,22 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(lang.encode() + b"\n" + word, 13)
 
 
-def pair_code(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """A number of 32 + ``bits`` bits for each pair of word hashes."""
-    return mix(a * np.uint64(0xD6E8FEB86659FD93) + b) >> np.uint64(32 - bits)
+def code_of(hashes: list[np.ndarray], bits: int) -> np.ndarray:
+    """A number of REST + ``bits`` bits for each phrase, from the hashes of its first words, second words and so on."""
+    h = hashes[0]
+    for following in hashes[1:]:
+        h = mix(h * np.uint64(0xD6E8FEB86659FD93) + following)
+    return h >> np.uint64(64 - REST - bits)
+
+
+def three_bytes(numbers: np.ndarray) -> bytes:
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def from_three_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
 
 
 def by_language(batches):
@@ -111,55 +126,97 @@ def numbered(batches, bits: np.ndarray):
         yield vocabulary, vocabulary.numbers(told)
 
 
-def _pairs(words_bloom, bits: int):
-    """Pairs of frequent words by the leading ``bits`` of their code: the other 32 bits of pairs seen once, and of others with counts."""
-    def counted(parts: list[np.ndarray]):
-        code, f = np.unique(np.concatenate(parts), return_counts=True)
-        part = (code >> np.uint64(32)).astype(np.int64)
+class Phrases:
+    """Occurrences of phrases of one length in a batch: places of their first words, numbers of the distinct phrases; word numbers of
+    those (an array for each place in the phrase) and codes."""
+
+    def __init__(self, vocabulary: Vocabulary, at: np.ndarray, key: np.ndarray, words, bits: int):
+        """``key`` tells the phrases at places ``at`` apart, ``words`` gives the word numbers of distinct keys."""
+        self.at = at
+        distinct, self.number = np.unique(key, return_inverse=True)
+        self.words = words(distinct)
+        hashes = np.array(vocabulary.hashes, np.uint64)
+        self.codes = code_of([hashes[w] for w in self.words], bits)
+
+    def frequent(self, bloom: np.ndarray, n: int) -> np.ndarray:
+        """For each of n places, 1 + number of the phrase that begins there if the filter knows it, else 0."""
+        known = in_bloom(bloom, mix(self.codes))
+        out = np.zeros(n, np.int64)
+        out[self.at] = np.where(known[self.number], self.number + 1, 0)
+        return out
+
+
+def pairs_of(vocabulary: Vocabulary, ids: np.ndarray, bits: int) -> Phrases:
+    """Pairs of known words."""
+    at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    return Phrases(vocabulary, at, ids[at] << 32 | ids[at + 1], lambda key: [key >> 32, key & LOW], bits)
+
+
+def triples_of(vocabulary: Vocabulary, ids: np.ndarray, pairs: Phrases, pair: np.ndarray, bits: int) -> Phrases:
+    """Triples of two frequent pairs; ``pair`` is what ``frequent`` gave for ``pairs``."""
+    at = np.flatnonzero((pair[:-1] > 0) & (pair[1:] > 0))
+    return Phrases(vocabulary, at, (pair[at] - 1) << 32 | ids[at + 2], lambda key: [*(w[key >> 32] for w in pairs.words), key & LOW], bits)
+
+
+def packed(codes):
+    """By the leading bits of codes (``part``): the other bits of codes seen once, and of others with counts."""
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        code, f = np.unique(np.concatenate(held), return_counts=True)
+        part = (code >> np.uint64(REST)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(code)]
-        rest, f = code.astype(np.uint32), f.astype(np.uint32)
+        rest, f = (code & np.uint64((1 << REST) - 1)).astype(np.uint32), f.astype(np.uint32)
         once, more = [], []
         for a, b in zip(cuts, cuts[1:]):
             single = f[a:b] == 1
-            once.append(rest[a:b][single].tobytes())
+            once.append(three_bytes(rest[a:b][single]))
             more.append(np.stack([rest[a:b][~single], f[a:b][~single]]).tobytes())
-        yield pa.record_batch({"part": pa.array(part[cuts[:-1]]), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
+        return pa.record_batch({"part": pa.array(part[cuts[:-1]]), "once": pa.array(once, pa.binary()), "more": pa.array(more, pa.binary())})
 
-    def run(batches):
-        held: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    for some in codes:
+        held.append(some)
+        if sum(map(len, held)) > TOGETHER:
+            yield counted(held)
+            held = []
+    if any(map(len, held)):
+        yield counted(held)
+
+
+def _pairs(words_bloom, bits: int):
+    def codes(batches):
         for vocabulary, ids in numbered(batches, np.frombuffer(words_bloom.value, np.uint8)):
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            hashes = np.array(vocabulary.hashes, np.uint64)
-            if len(at):
-                held.append(pair_code(hashes[ids[at]], hashes[ids[at + 1]], bits))
-            if sum(map(len, held)) > TOGETHER:
-                yield from counted(held)
-                held = []
-        if held:
-            yield from counted(held)
-    return run
+            pairs = pairs_of(vocabulary, ids, bits)
+            yield pairs.codes[pairs.number]
+    return lambda batches: packed(codes(batches))
 
 
-def _frequent_pairs(least: int):
-    """``hash`` of the pair codes of one part that reach ``least`` in sum."""
+def _triples(words_bloom, pairs_bloom, bits: int):
+    def codes(batches):
+        known = np.frombuffer(pairs_bloom.value, np.uint8)
+        for vocabulary, ids in numbered(batches, np.frombuffer(words_bloom.value, np.uint8)):
+            pairs = pairs_of(vocabulary, ids, bits)
+            triples = triples_of(vocabulary, ids, pairs, pairs.frequent(known, len(ids)), bits)
+            yield triples.codes[triples.number]
+    return lambda batches: packed(codes(batches))
+
+
+def _frequent(least: int):
+    """``hash`` of the codes of one part that reach ``least`` in sum."""
     def run(table: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(table["once"].to_pylist()), np.uint32)
+        once = from_three_bytes(b"".join(table["once"].to_pylist()))
         more = [np.frombuffer(m, np.uint32).reshape(2, -1) for m in table["more"].to_pylist()]
         code, place = np.unique(np.concatenate([once, *[m[0] for m in more]]), return_inverse=True)
         f = np.bincount(place, np.concatenate([np.ones(len(once)), *[m[1] for m in more]]), minlength=len(code))
-        kept = code[f >= least].astype(np.uint64) | np.uint64(table["part"][0].as_py() << 32)
+        kept = code[f >= least].astype(np.uint64) | np.uint64(table["part"][0].as_py() << REST)
         return pa.table({"hash": mix(kept).view(np.int64)})
     return run
 
 
-def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tuple[np.ndarray, ...]], words: pa.Array) -> pa.RecordBatch:
-    """One row per prefix: the total of a single word and, for each next word but 0, a count. ``names`` has the word numbers of each prefix by number."""
+def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[np.ndarray], words: pa.Array) -> pa.RecordBatch:
+    """One row per prefix: the total of a single word and, for each next word but 0, a count. ``names`` has the word numbers of prefixes."""
     single = len(names) == 1
     keys, counts = np.unique(prefix.astype(np.int64) << 32 | nexts, return_counts=True)
-    if not single:
-        followed = (keys & 0xFFFFFFFF) > 0
-        keys, counts = keys[followed], counts[followed]
-    own, follow = keys >> 32, keys & 0xFFFFFFFF
+    own, follow = keys >> 32, keys & LOW
     first = np.flatnonzero(np.diff(own, prepend=-1))
     totals = np.add.reduceat(counts, first) if len(first) else counts
     kept = follow > 0
@@ -171,30 +228,22 @@ def stripes_of(lang: str, prefix: np.ndarray, nexts: np.ndarray, names: list[tup
                             "stripe": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), element)})
 
 
-def _stripes(words_bloom, pairs_bloom, bits: int):
+def _stripes(words_bloom, pairs_bloom, triples_bloom, bits: int):
     """Stripes of prefixes of one, two and three words."""
     def run(batches):
-        pair_bits = np.frombuffer(pairs_bloom.value, np.uint8)
-        for vocabulary, ids in numbered(batches, np.frombuffer(words_bloom.value, np.uint8)):
+        known = [np.frombuffer(b.value, np.uint8) for b in (words_bloom, pairs_bloom, triples_bloom)]
+        for vocabulary, ids in numbered(batches, known[0]):
             lang, words, n = vocabulary.lang, pa.array(vocabulary.names, pa.string()), len(ids)
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            codes, number = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
-            a, b = codes >> 32, codes & 0xFFFFFFFF
-            hashes = np.array(vocabulary.hashes, np.uint64)
-            frequent = in_bloom(pair_bits, mix(pair_code(hashes[a], hashes[b], bits)))
-            pair = np.zeros(n + 2, np.int64)  # 1 + number of the frequent pair that begins at a word, else 0
-            pair[at] = np.where(frequent[number], number + 1, 0)
-            ids = np.concatenate([ids, [0, 0, 0]])
-            at = np.flatnonzero(ids[:n] > 0)
+            pairs = pairs_of(vocabulary, ids, bits)
+            pair = pairs.frequent(known[1], n)
+            triples = triples_of(vocabulary, ids, pairs, pair, bits)
+            triple = triples.frequent(known[2], n)
+            at = np.flatnonzero(ids)  # the last is a break, so a word has a next
             yield stripes_of(lang, ids[at], np.where(pair[at] > 0, ids[at + 1], 0), [np.arange(len(words))], words)
-            at = np.flatnonzero(pair[:n])
-            goes_on = pair[at + 1] > 0
-            yield stripes_of(lang, pair[at] - 1, np.where(goes_on, ids[at + 2], 0), [a, b], words)
-            at = at[goes_on]  # triples of frequent pairs
-            triples, number = np.unique((pair[at] - 1) << 32 | ids[at + 2], return_inverse=True)
-            first = triples >> 32
-            ahead = np.where(pair[at + 2] > 0, ids[at + 3], 0)
-            yield stripes_of(lang, number, ahead, [a[first], b[first], triples & 0xFFFFFFFF], words)
+            at = np.flatnonzero(triple)
+            yield stripes_of(lang, pair[at] - 1, ids[at + 2], pairs.words, words)
+            at = np.flatnonzero((triple[:-1] > 0) & (triple[1:] > 0))
+            yield stripes_of(lang, triple[at] - 1, ids[at + 3], triples.words, words)
     return run
 
 
@@ -229,10 +278,15 @@ def count_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     words = stage(counted.groupBy("lang", frequent.alias("word")).agg(F.sum("f").alias("f")), "words")
     known = told(bloom_of(words.where("word is not null").mapInArrow(_hashed, "hash long")))
     total = words.agg(F.sum("f")).head()[0] or 0
-    bits = min(32, max(8, (total // IN_PART).bit_length()))  # parts of about IN_PART pairs at any size
-    packed = texts.mapInArrow(_pairs(known, bits), "part long, once binary, more binary")
-    paired = told(bloom_of(packed.groupBy("part").applyInArrow(_frequent_pairs(least), "hash long")))
-    elements = stage(merged(texts.mapInArrow(_stripes(known, paired, bits), STRIPE), least), "stripes")
+    bits = min(32, max(8, (total // IN_PART).bit_length()))  # parts of about IN_PART at any size
+
+    def frequent(codes) -> Broadcast:
+        parts = texts.mapInArrow(codes, "part long, once binary, more binary").groupBy("part")
+        return told(bloom_of(parts.applyInArrow(_frequent(least), "hash long")))
+
+    pairs = frequent(_pairs(known, bits))
+    triples = frequent(_triples(known, pairs, bits))
+    elements = stage(merged(texts.mapInArrow(_stripes(known, pairs, triples, bits), STRIPE), least), "stripes")
     return words.groupBy("lang").agg(F.sum("f").alias("n")), elements
 
 
