@@ -14,10 +14,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import metrics, order_stats
+from . import isotonic
 
 SEED = 42
 # Settings tried by the random search.
@@ -103,18 +103,8 @@ class Platt:
         return score(self.model, one, name).drop("cal")
 
 
-class Isotonic:
-    def __init__(self, model):
-        self.model = model
-
-    def apply(self, df: DataFrame, source: str = "p", name: str = "p_cal") -> DataFrame:
-        shaped = self.model.setFeaturesCol("_iso").setPredictionCol("_raw").transform(df.withColumn("_iso", F.col(source)))
-        clipped = F.least(F.greatest(F.col("_raw"), F.lit(1e-6)), F.lit(1 - 1e-6))
-        return shaped.withColumn(name, clipped).drop("_raw", "_iso")
-
-
 class TwoStage:
-    def __init__(self, first: Platt, second: Isotonic):
+    def __init__(self, first: Platt, second: isotonic.Isotonic):
         self.first, self.second = first, second
 
     def apply(self, df: DataFrame, source: str = "p", name: str = "p_cal") -> DataFrame:
@@ -126,10 +116,8 @@ def calibrate_platt(oof: DataFrame, source: str = "p") -> Platt:
     return Platt(logistic("cal", regParam=0.0).fit(one))
 
 
-def calibrate_isotonic(oof: DataFrame, source: str = "p") -> Isotonic:
-    """Equal scores are merged first, as weighted points; the fit is that of the rows."""
-    points = oof.groupBy(F.col(source).alias("x")).agg((F.sum(F.col("y") * F.col("weight")) / F.sum("weight")).alias("t"), F.sum("weight").alias("w"))
-    return Isotonic(IsotonicRegression(featuresCol="x", labelCol="t", weightCol="w").fit(points))
+def calibrate_isotonic(oof: DataFrame, source: str = "p") -> isotonic.Isotonic:
+    return isotonic.fit(oof, source, "y", "weight")
 
 
 def calibrate_two_stage(oof: DataFrame, source: str = "p") -> TwoStage:
@@ -150,8 +138,9 @@ def random_search(df: DataFrame, tries: int = 50, folds: int = 5, space: dict |
     return sorted(found, key=lambda x: x[0])
 
 
-def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "contest_id", repeats: int = 10, seed: int = SEED) -> DataFrame:
-    """Rise in log loss when a column is shuffled.
+def permutation_importance(model, df: DataFrame, columns: list[str], key: str = "contest_id", repeats: int = 10, seed: int = SEED,
+                           scoring: str = "log_loss") -> DataFrame:
+    """Rise in log loss, or with ``scoring`` "accuracy" fall in the share of right picks, when a column is shuffled.
 
     A shuffle gives row n the value held by the row numbered n in another hash order. All
     (feature, repeat) variants are exploded and scored in one pass and reduced by one aggregate.
@@ -160,6 +149,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str =
     base = df.select(key, "y", *columns)
     placed = order_stats.number_rows(base, [], order("place"), "_at")
     bad = F.lit(0.0)
+    loss = {"log_loss": metrics.row_log_loss(F.col("y"), F.col("p")), "accuracy": (metrics.predicted(F.col("p")) != F.col("y")).cast("double")}[scoring]
     total = None
     for r in range(repeats):
         donor = order_stats.number_rows(base, [], order(r), "_at").select("_at", *[F.col(c).alias("_d_" + c) for c in columns])
@@ -168,7 +158,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], key: str =
             F.col("_d_" + x if x == c else x).cast("double") for x in columns])).alias("features"))
         plain = F.struct(F.lit("").alias("feature"), array_to_vector(F.array(*[F.col(x).cast("double") for x in columns])).alias("features"))
         rows = both.select("y", F.explode(F.array(plain, *[variant(c) for c in columns])).alias("v")).select("y", "v.*", F.lit(r).alias("round"))
-        losses = score(model, rows).groupBy("round", "feature").agg(F.avg(metrics.row_log_loss(F.col("y"), F.col("p"))).alias("loss"))
+        losses = score(model, rows).groupBy("round", "feature").agg(F.avg(loss).alias("loss"))
         total = losses if total is None else total.unionByName(losses)
     start = total.filter("feature = ''").select("round", F.col("loss").alias("_base"))
     drop = total.filter("feature <> ''").join(F.broadcast(start), "round").withColumn("drop", F.col("loss") - F.col("_base"))

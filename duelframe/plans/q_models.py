@@ -7,11 +7,12 @@ from functools import cache
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
-from ..models import training as tr
+from ..models import isotonic, training as tr
 from ..operators import metrics, ratings, reshape, serving
 from ..session import stage
 from .q_market import _upcoming
-from .registry import query
+from .registry import query, r6
+from .sqltext import sql
 from .tables import CUTOFF, SNAPSHOT_FEATURES, Tables
 
 C = F.col
@@ -92,6 +93,23 @@ def _(t):
     return _calibrated(t, tr.calibrate_isotonic(oof(t)), "isotonic")
 
 
+_POINTS = """SELECT CAST(diff_n_prior AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(f1_won) AS DOUBLE) AS s
+FROM bout_matchups WHERE diff_n_prior IS NOT NULL GROUP BY 1"""
+_SUMS = "SELECT x, w, s, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM pts"
+_MEANS = "SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM sums a JOIN sums b ON b.i >= a.i"
+
+
+@query("isotonic_experience", sql(f"""
+SELECT x, CAST(w AS BIGINT) AS n, {r6('value')} AS value FROM sums JOIN (
+  SELECT i, max(least_mean) AS value FROM (SELECT b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS least_mean FROM means) GROUP BY i) USING (i)""",
+                               pts=_POINTS, sums=_SUMS, means=_MEANS))
+def _(t):
+    """Share of contests won as a rising function of the lead in earlier contests."""
+    rows = t.matchups.select(C("diff_n_prior").cast("double").alias("x"), C("f1_won").alias("y")).where("x IS NOT NULL")
+    values = isotonic.fit(rows).values(rows.select("x").distinct())
+    return rows.groupBy("x").agg(F.count("*").alias("n")).join(values, "x")
+
+
 @query("calibrate_two_stage")
 def _(t):
     return _calibrated(t, tr.calibrate_two_stage(oof(t)), "two stage")
@@ -110,6 +128,11 @@ def _(t):
     return tr.permutation_importance(main_model(t), split(t)[1], COLUMNS)
 
 
+@query("permutation_importance_accuracy")
+def _(t):
+    return tr.permutation_importance(main_model(t), split(t)[1], COLUMNS, scoring="accuracy")
+
+
 @query("top_features")
 def _(t):
     return tr.top_features(tr.permutation_importance(main_model(t), split(t)[1], COLUMNS), 5)
