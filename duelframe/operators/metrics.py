@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import order_stats
@@ -105,12 +107,40 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed:
     return numbered.withColumn("fold", (F.col("_i") % folds).cast("int")).drop("_i")
 
 
+def _gram(columns: list[str]):
+    """Sums over the rows of a task that have both columns of a pair, by pair."""
+    def run(batches):
+        d = len(columns)
+        sums = np.zeros((4, d, d))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns], axis=1).reshape(-1, d)
+            told = ~np.isnan(x)
+            x, there = np.where(told, x, 0.0), told.astype(np.float64)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        i, j = np.triu_indices(d, 1)
+        n, x, xx, xy = sums
+        yield pa.record_batch({"i": pa.array(i), "j": pa.array(j), "n": n[i, j], "x": x[i, j], "y": x[j, i], "xx": xx[i, j], "yy": xx[j, i], "xy": xy[i, j]})
+    return run
+
+
 def correlated_pairs(df: DataFrame, columns: list[str], threshold: float = 0.85) -> DataFrame:
-    """Column pairs with absolute Pearson correlation above the threshold, from one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    row = df.agg(*[F.abs(F.corr(a, b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(rows).alias("r")).select("r.*").filter(F.col("corr") > threshold)
+    """Column pairs with absolute Pearson correlation above the threshold, from one pass of Gram matrices.
+
+    Tasks emit one row per pair of columns, which are added up by pair; values are taken from each column's mean on. A row in
+    which one of the two is null or NaN does not count for that pair; a pair with a column that does not vary there is left out.
+    """
+    number = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns]
+    means = df.agg(*[F.avg(x).alias(f"_{i}") for i, x in enumerate(number)]).head()
+    moved = df.select(*[(x - F.lit(m or 0.0)).alias(f"_{i}") for i, (x, m) in enumerate(zip(number, means))])
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
+    parts = moved.mapInArrow(_gram(moved.columns), "i long, j long, " + ", ".join(f"{c} double" for c in sums))
+    whole = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    spread = lambda a, aa: F.col("n") * F.col(aa) - F.col(a) * F.col(a)
+    # A constant column's spread is what rounding leaves.
+    varies = (spread("x", "xx") > F.lit(1e-12) * F.col("n") * F.col("xx")) & (spread("y", "yy") > F.lit(1e-12) * F.col("n") * F.col("yy"))
+    corr = F.when(varies, F.abs((F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread("x", "xx")) / F.sqrt(spread("y", "yy"))))
+    names = F.array(*[F.lit(c) for c in columns])
+    return whole.select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), corr.alias("corr")).filter(F.col("corr") > threshold)
 
 
 def prune_features(importance: DataFrame, pairs: DataFrame, limit: int = 5) -> DataFrame:

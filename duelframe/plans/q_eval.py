@@ -165,9 +165,19 @@ _CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", a
                                for i, a in enumerate(_CORR) for b in _CORR[i + 1:])
 
 
-@query("correlated_pairs", sql(f"SELECT \"left\", \"right\", {real('corr')} FROM cpairs WHERE corr > 0.7", cpairs=_CORR_SQL))
+# Every difference of the two sides is a model column.
+_ROLLED = [f"diff_{c}_last_{n}" for n in (3, 5, 10) for c in ("win_rate", "finish_rate", "sig_landed", "sig_absorbed", "td_landed", "duration")]
+_DIFFS = [*[f"diff_{c}" for c in (
+    "n_prior", "wins_prior", "losses_prior", "win_rate", "ko_rate", "sub_rate", "dec_rate", "finish_rate", "win_streak", "loss_streak",
+    "days_since_last", "contests_per_year", "division_prior", "contests_last_365d", "is_debut", "completeness", "strike_volume", "grappling",
+    "momentum")], *_ROLLED]
+_ALL_PAIRS = "SELECT unnest([" + ", ".join(
+    f"{{'a': '{a}', 'b': '{b}', 'corr': abs(corr({a}, {b}))}}" for i, a in enumerate(_DIFFS) for b in _DIFFS[i + 1:]) + "], recursive := true) FROM bout_matchups"
+
+
+@query("correlated_pairs", sql(f"SELECT a AS \"left\", b AS \"right\", {real('corr')} FROM apairs WHERE corr > 0.7 AND NOT isnan(corr)", apairs=_ALL_PAIRS))
 def _(t):
-    return metrics.correlated_pairs(t.matchups, _CORR, 0.7)
+    return metrics.correlated_pairs(t.matchups, _DIFFS, 0.7)
 
 
 # Importance stand-in computed from the data: absolute correlation with the target minus a floor.

@@ -124,19 +124,29 @@ def _(t):
 
 
 @query("model_registry", sql(f"""
-SELECT 'v' || CAST(row_number() OVER (ORDER BY y) AS VARCHAR) AS version, CAST(y AS BIGINT) AS year, {real('test_accuracy')}, y = max(y) OVER () AS is_current FROM (
-  SELECT year(contest_date) AS y, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS test_accuracy FROM led WHERE correct IS NOT NULL GROUP BY 1)"""))
-def _(t):
-    """One model version per season of the ledger, its accuracy read off the scored predictions."""
+SELECT version, year, {real('test_accuracy')}, retired_at IS NULL AS is_current, deployed_at, retired_at, CAST((
+  SELECT count(*) FROM led l WHERE l.correct IS NOT NULL AND l.contest_date >= deployed_at AND (retired_at IS NULL OR l.contest_date < retired_at)) AS BIGINT) AS in_force
+FROM (
+  SELECT 'v' || CAST(row_number() OVER (ORDER BY y) AS VARCHAR) AS version, CAST(y AS BIGINT) AS year, test_accuracy, CAST(d AS DATE) AS deployed_at,
+    CAST(lead(d) OVER (ORDER BY y) AS DATE) AS retired_at
+  FROM (SELECT year(contest_date) AS y, max(contest_date) AS d, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS test_accuracy FROM led WHERE correct IS NOT NULL GROUP BY 1))"""))
+def _(t):
+    """A version per season of the ledger, deployed on its last day and in force until the next one is; with the contests it was in force for."""
     path = _folder(t, "registry")
-    per = t.ledger_contests.filter("correct IS NOT NULL").groupBy(F.year("contest_date").alias("y")).agg(F.avg(C("correct").cast("double")).alias("test_accuracy"))
-    seasons = F.array_sort(F.collect_list(F.struct("y", "test_accuracy")))
+    scored = t.ledger_contests.filter("correct IS NOT NULL").select("contest_date", C("correct").cast("double").alias("hit"))
+    per = scored.groupBy(F.year("contest_date").alias("y")).agg(F.max("contest_date").cast("string").alias("d"), F.avg("hit").alias("test_accuracy"))
+    seasons = F.array_sort(F.collect_list(F.struct("y", "d", "test_accuracy")))
     doc = per.agg(seasons.alias("s")).select(
         F.lit("1").alias("registry_version"), F.concat(F.lit("v"), F.size("s").cast("string")).alias("current"),
-        F.transform("s", lambda x, i: F.struct(F.concat(F.lit("v"), (i + 1).cast("string")).alias("version"), x["y"].cast("string").alias("description"),
-                                               x["test_accuracy"].alias("test_accuracy"))).alias("models"))
+        F.transform("s", lambda x, i: F.struct(
+            F.concat(F.lit("v"), (i + 1).cast("string")).alias("version"), x["y"].cast("string").alias("description"), x["d"].alias("deployed_at"),
+            F.get("s", i + 1)["d"].alias("retired_at"), x["test_accuracy"].alias("test_accuracy"))).alias("models"))
     doc.coalesce(1).write.json(path)
-    return readers.read_model_registry(t.spark, path).select("version", C("description").cast("long").alias("year"), "test_accuracy", "is_current")
+    registry = readers.read_model_registry(t.spark, path)
+    served = readers.model_in_force(scored, registry, "contest_date", "version").groupBy("version").agg(F.count("*").alias("in_force"))
+    return registry.join(served, "version", "left").select(
+        "version", C("description").cast("long").alias("year"), "test_accuracy", "is_current", C("deployed_at").cast("date").alias("deployed_at"),
+        C("retired_at").cast("date").alias("retired_at"), F.coalesce("in_force", F.lit(0)).alias("in_force"))
 
 
 @query("refresh_since", sql("""
