@@ -65,7 +65,7 @@ def _(t):
 
 @query("random_search")
 def _(t):
-    found = tr.random_search(split(t)[0], tries=3, folds=5, space={"maxDepth": (2, 3, 4), "maxIter": (10, 20), "stepSize": (0.05, 0.1, 0.2)})
+    found = tr.random_search(split(t)[0], tries=3, folds=5)
     rows = [(i, float(loss), str(sorted(pick.items()))) for i, (loss, pick) in enumerate(found)]
     return t.spark.createDataFrame(rows, "rank int, log_loss double, settings string")
 
