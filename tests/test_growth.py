@@ -1,11 +1,16 @@
 """What a task, the driver or the disk holds must not grow faster than the input."""
 
+from pathlib import Path
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from conftest import SF
 from test_scale_paths import same
 
 from duelframe.operators import ratings
+from duelframe.plans.tables import Tables
+from duelframe.session import app_folder
 
 
 def test_rating_stream_hands_on_each_batch():
@@ -39,3 +44,18 @@ def test_pool_without_a_name(t):
     rated = ratings.elo_ratings(games)
     assert rated.count() == games.count()
     same(ratings.latest_ratings(games), ratings.final_ratings(rated), ("pool", "k", "side_id"))
+
+
+def written(spark, name):
+    return list(Path(app_folder(spark).removeprefix("file://")).glob(f"{name}-*"))
+
+
+def test_first_query_reads_through_wide_tables(spark):
+    fresh = Tables(spark, SF)
+    before = {n: written(spark, n) for n in ("sides", "career", "imputed", "matchups", "adjusted")}
+    first = fresh.matchups.select("contest_id", "diff_n_prior").orderBy("contest_id").collect()
+    assert "avg_opp_quality" in fresh.adjusted.columns
+    assert before == {n: written(spark, n) for n in before}
+    again = fresh.matchups
+    assert len(written(spark, "matchups")) == len(before["matchups"]) + 1 and written(spark, "career") == before["career"]
+    assert again.select("contest_id", "diff_n_prior").orderBy("contest_id").collect() == first
