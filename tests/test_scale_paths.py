@@ -127,6 +127,12 @@ def test_similar_names_equals_all_pairs(spark, metric, threshold):
     assert got == sorted(want, key=str) and len(want) > 50
 
 
+def test_names_are_not_handed_to_the_driver(spark):
+    df = spark.createDataFrame([("Ann Able",), ("Bob Baker",)], "name string")
+    out = matching.fuzzy_best_match(df.selectExpr("upper(name) AS name"), df)
+    assert out.count() == 2 and "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fuzzy_best_match_gestalt_equals_brute_force(spark):
     import difflib
     rnd = random.Random(3)
