@@ -4,11 +4,14 @@ from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 from conftest import SF
 from test_scale_paths import same
 
+from duelframe.models import training
 from duelframe.operators import ratings
+from duelframe.plans import q_models
 from duelframe.plans.tables import Tables
 from duelframe.session import app_folder
 
@@ -59,3 +62,20 @@ def test_first_query_reads_through_wide_tables(spark):
     again = fresh.matchups
     assert len(written(spark, "matchups")) == len(before["matchups"]) + 1 and written(spark, "career") == before["career"]
     assert again.select("contest_id", "diff_n_prior").orderBy("contest_id").collect() == first
+
+
+def test_importance_numbers_and_scores_unshuffled_rows_once(spark):
+    rows = [(i, i % 2, float(i % 2) + (i % 7) / 10, float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "contest_id long, y int, a double, b double")
+    shaped = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df.withColumn("weight", F.lit(1.0)))
+    model, before = training.logistic().fit(shaped), len(written(spark, "placed"))
+    found = training.permutation_importance(model, df, ["a", "b"], repeats=3)
+    out = {r.feature: r for r in found.collect()}
+    assert out["a"].importance > 0.1 > abs(out["b"].importance) and out["a"].std > 0
+    assert len(written(spark, "placed")) == before + 1
+
+
+def test_reports_write_scores_once(spark):
+    before = len(written(spark, "scored"))
+    df = spark.createDataFrame([(0, 0.2, 1), (1, 0.9, 2)], "y int, p double, other int")
+    assert q_models._report(df, "m").first().accuracy == 1.0 and len(written(spark, "scored")) == before + 1
