@@ -79,3 +79,20 @@ def test_reports_write_scores_once(spark):
     before = len(written(spark, "scored"))
     df = spark.createDataFrame([(0, 0.2, 1), (1, 0.9, 2)], "y int, p double, other int")
     assert q_models._report(df, "m").first().accuracy == 1.0 and len(written(spark, "scored")) == before + 1
+
+
+def test_pairs_of_few_features_ship_only_those(spark):
+    fresh = Tables(spark, SF)
+    narrow, whole = fresh.matchups_of("win_rate"), fresh.matchups
+    columns = ["contest_id", "f1_id", "f2_id", "f1_won", "diff_n_prior", "diff_win_rate"]
+    assert "td_landed_last_5" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    same(narrow.select(*columns), whole.select(*columns), ("contest_id",))
+
+
+def test_scaled_skills_write_no_measures(spark):
+    fresh = Tables(spark, SF)
+    before = len(written(spark, "profiled")), len(written(spark, "skills"))
+    columns = ["contest_id", "side_id", "opp_striking", "opp_quality"]
+    narrow = fresh.skills.select(*columns)
+    assert (len(written(spark, "profiled")), len(written(spark, "skills"))) == (before[0], before[1] + 1)
+    same(narrow, fresh.skilled.select(*columns), ("contest_id", "side_id"))
