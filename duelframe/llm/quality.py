@@ -1,10 +1,13 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Texts become sequences over 32 symbol classes (letters without case get one class each, all capitals share
-one, then white space, digits, sentence marks, other marks, and bytes of non-ASCII letters). The model is of
-order 4, so one language has at most 32 ** 4 n-grams however large the corpus is. Counts cover every trusted
-row; continuation counts, context totals and discounts are joined to the n-grams by language, order and context, sharded
-by those keys. The model of a language is then laid out for all n-grams, and each task sums the costs of its texts.
+Texts are sequences of code points, each told apart (case, digits, marks and all scripts), and the model counts their
+n-grams up to order 4 over every trusted row, by language. Counts, continuation counts, context totals and
+discounts are joined by (language, n-gram). To score, the distinct n-grams of all texts are joined with the sharded model from the
+lowest order up. Texts of one model are dealt into groups of about GROUP MB; each group asks once for each of its distinct
+n-grams, and the costs meet its texts, where each sums its own. Nothing of the model passes through the driver.
+
+``fit`` and ``perplexity`` also take coarser symbols: CLASSES has 32 classes of bytes (letters without case, all capitals
+in one, white space, digits, sentence marks, other marks, and bytes of non-ASCII letters).
 
 Defined results: a null or empty text has no symbols, null perplexity and ``keep`` false. A null language, or
 one without trusted text, is scored by the model and thresholds of all languages together. Repeated rows are
@@ -14,22 +17,24 @@ each scored. An empty trusted set keeps every non-empty text; otherwise every no
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.session import stage
 
-from .common import KEY, checked_join, column, content_key, slices, small, utf8
+from .common import KEY, checked_join, column, content_key, rows_of, slices, small, utf8
 
 ORDER, BASE = 4, 32
-SIZE = BASE ** ORDER
-# Languages whose models are broadcast at once: at most GROUP * SIZE floats, 64 MB.
-GROUP = 16
+# MB of text in a group that asks for its n-grams together.
+GROUP = 8
+# Largest alphabet whose 4-grams fit 63 bits.
+WIDE = 55_000
 ALL = "*"
 SPACE, CAPITAL, DIGIT, STOP, MARK, OTHER = range(26, 32)
 # Bounds of the length bands (symbols) within which quantiles are taken: short texts vary more.
@@ -52,53 +57,106 @@ def symbol_classes() -> np.ndarray:
 LUT = symbol_classes()
 
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the n-grams that end at each byte of the texts, and the texts' offsets; a text begins after spaces."""
-    padded = pc.binary_join_element_wise(pa.scalar("   "), pc.fill_null(texts, ""), "")
+@dataclass(frozen=True)
+class Symbols:
+    """What a text is a sequence of; ``size`` is the number of symbols, or None for those of the trusted texts and one unknown."""
+    points: bool
+    size: int | None
+
+
+CLASSES, POINTS = Symbols(False, BASE), Symbols(True, None)
+
+
+def _symbols(texts: pa.Array, kind: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' symbols as code points, each text after ORDER - 1 spaces, and where each text begins and ends."""
+    padded = pc.binary_join_element_wise(pa.scalar(" " * (ORDER - 1)), pc.fill_null(texts, ""), "")
     data, at = utf8(padded)
-    s = LUT[data].astype(np.int32)
-    code = np.zeros(len(s), np.int32)
-    if len(s) >= ORDER:
-        code[3:] = (s[:-3] << 15) | (s[1:-2] << 10) | (s[2:-1] << 5) | s[3:]
-    inside = np.ones(len(s), bool)
+    if not kind.points:
+        return LUT[data].astype(np.int64) + ord("@"), at
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.int64), heads[at]
+
+
+def _texts(points: np.ndarray) -> pa.Array:
+    """Rows of code points as strings."""
+    flat = points.ravel()
+    size = 1 + (flat >= 0x80) + (flat >= 0x800) + (flat >= 0x10000)
+    at = np.concatenate([[0], np.cumsum(size.reshape(points.shape).sum(axis=1))]).astype(np.int32)
+    data = flat.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
+    return pa.StringArray.from_buffers(len(points), pa.py_buffer(at), pa.py_buffer(data))
+
+
+@dataclass
+class Grams:
+    """The distinct n-grams of some texts, how often each occurs, and the number of symbols of each text."""
+    code: np.ndarray
+    distinct: np.ndarray
+    n: np.ndarray
+    grams: pa.Array
+    size: np.ndarray
+
+    def sums(self, cost: np.ndarray) -> np.ndarray:
+        """Each text's sum of the costs of its n-grams; it depends on no other text."""
+        out = np.zeros(len(self.size))
+        at, some = np.cumsum(self.size) - self.size, self.size > 0
+        if some.any():
+            out[some] = np.add.reduceat(cost[np.searchsorted(self.distinct, self.code)], at[some])
+        return out
+
+
+def ngrams(texts: pa.Array, kind: Symbols) -> Grams:
+    """The n-grams that end at each symbol of the texts; a text begins after spaces."""
+    s, at = _symbols(texts, kind)
+    present = np.flatnonzero(np.bincount(s))
+    rank = np.zeros(present[-1] + 1 if len(present) else 1, np.int64)
+    rank[present] = np.arange(len(present))
+    c, base = rank[s], max(1, len(present))
+    pairs, wide, table = c[:-1] * base + c[1:], base * base, None
+    if base > WIDE:
+        table, pairs = np.unique(pairs, return_inverse=True)
+        wide = len(table)
+    inside = np.ones(max(0, len(s)), bool)
     inside[(at[:-1, None] + np.arange(ORDER - 1)).ravel()] = False
-    return code[inside], at - (ORDER - 1) * np.arange(len(at))
-
-
-def _count(batches):
-    """Counts of n-grams by language in this task; the dense arrays are handed on when many languages meet."""
-    held: dict[str, np.ndarray] = {}
-
-    def out():
-        for lang, n in held.items():
-            codes = np.flatnonzero(n)
-            yield pa.record_batch({"lang": pa.array([lang] * len(codes), pa.string()), "code": pa.array(codes, pa.int64()),
-                                   "n": pa.array(n[codes], pa.int64())})
-        held.clear()
-    for batch in slices(batches, "text"):
-        langs = pd.Series(column(batch, "lang").to_pylist(), dtype=object)
-        for lang, rows in langs.groupby(langs).indices.items():
-            if lang not in held and len(held) == 8:
-                yield from out()
-            codes, _ = ngrams(column(batch, "text").take(pa.array(rows)))
-            counts = np.bincount(codes, minlength=SIZE)
-            held[lang] = held[lang] + counts if lang in held else counts
-    yield from out()
-
-
-def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """(lang, code, n) over all rows, and the same over all languages together under ``*``."""
-    part = trusted.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), "text").mapInArrow(_count, "lang string, code long, n long")
-    each = stage(part.groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngram_counts")
-    pooled = each.groupBy("code").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "code", "n")
+    code = (pairs[:-2] * wide + pairs[2:])[inside[ORDER - 1:]]
+    distinct, n = np.unique(code, return_counts=True)
+    halves = np.divmod(distinct, wide)
+    if table is not None:
+        halves = [table[h] for h in halves]
+    points = np.stack([present[x] for h in halves for x in np.divmod(h, base)], axis=1) if len(distinct) else np.zeros((0, ORDER), np.int64)
+    return Grams(code, distinct, n, _texts(points), np.diff(at) - (ORDER - 1))
+
+
+def _by_value(batch, name: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Each value of the column and the numbers of its rows."""
+    coded = column(batch, name).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    for i, value in enumerate(coded.dictionary.to_pylist()):
+        yield value, np.flatnonzero(at == i)
+
+
+def _counter(kind: Symbols):
+    def count(batches):
+        for batch in slices(batches, "text", 4 << 20):
+            for lang, rows in _by_value(batch, "lang"):
+                found = ngrams(column(batch, "text").take(pa.array(rows)), kind)
+                yield pa.record_batch({"lang": pa.array([lang] * len(found.n), pa.string()), "gram": found.grams, "n": pa.array(found.n, pa.int64())})
+    return count
+
+
+def count_ngrams(trusted: DataFrame, kind: Symbols) -> DataFrame:
+    """(lang, gram, n) over all rows, and the same over all languages together under ``*``."""
+    part = trusted.select(F.coalesce("lang", F.lit(ALL)).alias("lang"), "text").mapInArrow(_counter(kind), "lang string, gram string, n long")
+    each = stage(part.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ngram_counts")
+    pooled = each.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "gram", "n")
     return each.where(F.col("lang") != ALL).unionByName(pooled)
 
 
 def orders(top: DataFrame) -> DataFrame:
-    """(lang, k, code, n) for all orders: counts of the highest, and below it the kinds of symbols that stand before a k-gram."""
+    """(lang, k, gram, n) for all orders: counts of the highest, and below it the kinds of symbols that stand before a k-gram."""
     counts, out = top, [top.withColumn("k", F.lit(ORDER))]
     for k in range(ORDER - 1, 0, -1):
-        counts = counts.groupBy("lang", (F.col("code") % BASE ** k).alias("code")).agg(F.count("*").alias("n"))
+        counts = counts.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
         out.append(counts.withColumn("k", F.lit(k)))
     return reduce(DataFrame.unionByName, out)
 
@@ -114,96 +172,157 @@ def discounts(counts: DataFrame) -> DataFrame:
     return times.select("lang", "k", d(1), d(2), d(3))
 
 
-def fit(trusted: DataFrame) -> DataFrame:
-    """Rows (lang, k, code, q, gamma): the discounted share of each seen k-gram in its context, and each context's back-off weight."""
-    counts = stage(orders(count_ngrams(trusted)), "ngrams")
+def fit(trusted: DataFrame, kind: Symbols = CLASSES) -> DataFrame:
+    """Rows (lang, gram, q, once, gamma): the discounted share of each seen n-gram in its context, whether its count is one, and its
+    back-off weight as a context.
+
+    The empty n-gram has the share of a uniform guess. Contexts sum whole numbers, so that reruns agree.
+    """
+    counts = stage(orders(count_ngrams(trusted, kind)), "ngrams")
     cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    seen = counts.join(small(stage(discounts(counts), "discounts")), ["lang", "k"]).select(
-        "lang", "k", "code", F.floor(F.col("code") / BASE).alias("context"), "n", cut.alias("cut"))
-    context = seen.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("gamma"))
-    q = seen.join(context, ["lang", "k", "context"]).select("lang", "k", "code", ((F.col("n") - F.col("cut")) / F.col("total")).alias("q"))
-    back = context.select("lang", "k", F.col("context").alias("code"), "gamma")
-    return stage(q.unionByName(back, allowMissingColumns=True), "kn_model")
+    found = small(stage(discounts(counts), "discounts"))
+    seen = counts.withColumn("context", F.expr("substring(gram, 1, k - 1)"))
+    times = [F.count_if(F.col("n") == j if j < 3 else F.col("n") >= 3) for j in (1, 2, 3)]
+    context = stage(seen.groupBy("lang", "k", "context").agg(F.sum("n").alias("total"), *[t.alias(f"c{j}") for j, t in enumerate(times, 1)]), "contexts")
+    q = seen.join(context.select("lang", "k", "context", "total"), ["lang", "k", "context"]).join(found, ["lang", "k"]).select(
+        "lang", "gram", ((F.col("n") - cut) / F.col("total")).alias("q"), (F.col("n") == 1).alias("once"))
+    back = context.join(found, ["lang", "k"]).select(
+        "lang", F.col("context").alias("gram"), (sum(F.col(f"c{j}") * F.col(f"d{j}") for j in (1, 2, 3)) / F.col("total")).alias("gamma"))
+    types = F.lit(float(kind.size)) if kind.size else F.count("*") + 1.0
+    guess = counts.where("k = 1").groupBy("lang").agg((1 / types).alias("q")).withColumns({"gram": F.lit(""), "once": F.lit(False)})
+    model = q.unionByName(guess).unionByName(back, allowMissingColumns=True)
+    return stage(model.groupBy("lang", "gram").agg(*[F.max(c).alias(c) for c in ("q", "once", "gamma")]), "kn_model")
+
+
+def _asker(kind: Symbols):
+    def ask(batches):
+        """The distinct n-grams of each slice, by model."""
+        for batch in slices(batches, "text", 4 << 20):
+            for model, rows in _by_value(batch, "model"):
+                grams = ngrams(column(batch, "text").take(pa.array(rows)), kind).grams
+                yield pa.record_batch({"model": pa.array([model] * len(grams), pa.string()), "gram": grams})
+    return ask
+
+
+def _deflate(batches):
+    """Texts compressed, since the groups' shuffle is the largest of the job."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(t, 1) for t in rows_of(batch, "text")], pa.binary())
+        at = batch.schema.get_field_index("text")
+        yield pa.record_batch([packed if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+
+
+def _inflate(packed: pa.ChunkedArray, most: int = 1 << 20) -> Iterator[pa.Array]:
+    """The texts in arrays of about ``most`` bytes; a longer text stands alone."""
+    held, size = [], 0
+    for chunk in packed.chunks:
+        for value in chunk:
+            text = zlib.decompress(value.as_buffer())
+            if held and size + len(text) > most:
+                yield pa.array(held, pa.binary()).cast(pa.string())
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+    if held:
+        yield pa.array(held, pa.binary()).cast(pa.string())
+
+
+def _grouper(kind: Symbols):
+    def ask(texts: pa.Table) -> pa.Table:
+        """The distinct n-grams of a group of texts."""
+        found = pc.unique(pa.chunked_array([ngrams(t, kind).grams for t in _inflate(column(texts, "text"))], pa.string()))
+        key = [pa.repeat(column(texts, c)[0], len(found)) for c in ("model", "part")]
+        return pa.table([*key, found], names=["model", "part", "gram"])
+    return ask
+
+
+def _scorer(kind: Symbols, carry: list[str]):
+    def score(texts: pa.Table, costs: pa.Table) -> pa.Table:
+        """Number of symbols and perplexity of each text of a group, from the costs of the group's n-grams."""
+        n, mean, first = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan), 0
+        grams = column(costs, "gram").combine_chunks()
+        cost = column(costs, "cost").combine_chunks()
+        without, left_out = pc.coalesce(column(costs, "without").combine_chunks(), cost), mean.copy()
+        for some in _inflate(column(texts, "text")):
+            found, last = ngrams(some, kind), first + len(some)
+            at = pc.index_in(found.grams, value_set=grams)
+            n[first:last] = found.size
+            for out, each in ((mean, cost), (left_out, without)):
+                with np.errstate(invalid="ignore"):
+                    out[first:last] = found.sums(each.take(at).to_numpy(zero_copy_only=False)) / found.size
+            first = last
+        ready = {c: column(texts, c) for c in carry}
+        ready |= {"n_symbols": pa.array(n)}
+        return pa.table(ready | {c: pa.array(np.exp(x), from_pandas=True) for c, x in (("perplexity", mean), ("left_out", left_out))})
+    return score
+
 
+def costs(asked: DataFrame, model: DataFrame) -> DataFrame:
+    """(model, gram, cost, without) of the n-grams ``asked`` (model, gram): negative log-probabilities, joined from the lowest order up.
 
-def _dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Negative log-probability of every n-gram of one language, seen or not; a group has at most 2 * SIZE rows."""
-    p = np.full((1, BASE), 1.0 / BASE)
+    ``without`` is that in a trusted text which is itself left out of the counts, where it differs: an n-gram counted once
+    is then unseen, and takes its count of kinds from the next lower order with it.
+    """
+    q = model.select(F.col("lang").alias("model"), "gram", "q", "once").where("q is not null")
+    back = model.select(F.col("lang").alias("model"), F.col("gram").alias("context"), "gamma").where("gamma is not null")
+    wanted = [asked.select("model", "gram").distinct()]
+    for _ in range(ORDER):
+        wanted.append(wanted[-1].select("model", F.expr("substring(gram, 2)").alias("gram")).distinct())
+    p = wanted.pop().join(q, ["model", "gram"]).select("model", "gram", F.col("q").alias("p"), F.col("q").alias("l"))
     for k in range(1, ORDER + 1):
-        own = rows[rows.k == k]
-        gamma = np.ones(BASE ** (k - 1))
-        context, seen = own[own.gamma.notna()], own[own.q.notna()]
-        gamma[context.code.to_numpy()] = context.gamma.to_numpy()
-        p = gamma[:, None] * (p if k == 1 else np.tile(p, (BASE, 1)))  # backing off drops the oldest symbol
-        p.reshape(-1)[seen.code.to_numpy()] += seen.q.to_numpy()
-    return pd.DataFrame({"lang": [key[0]], "cost": [zlib.compress((-np.log(p)).astype(np.float32).tobytes(), 1)]})
-
-
-def _scorer(models: dict[str, np.ndarray]):
-    def score(batches):
-        shared = models.value
-        for batch in slices(batches, "text"):
-            langs = pd.Series(column(batch, "model").to_pylist(), dtype=object)
-            n, mean = np.zeros(len(langs), np.int64), np.full(len(langs), np.nan)
-            for lang, rows in langs.groupby(langs).indices.items():
-                codes, at = ngrams(column(batch, "text").take(pa.array(rows)))
-                size = np.diff(at)
-                n[rows] = size
-                if lang in shared and len(codes):
-                    sums = np.concatenate([[0.0], np.cumsum(shared[lang][codes], dtype=np.float64)])
-                    with np.errstate(invalid="ignore"):
-                        mean[rows] = (sums[at[1:]] - sums[at[:-1]]) / size
-            keep = [i for i, c in enumerate(batch.schema.names) if c not in ("text", "model")]
-            yield pa.record_batch([*[batch.column(i) for i in keep], pa.array(n), pa.array(np.exp(mean), from_pandas=True)],
-                                  names=[*[batch.schema.names[i] for i in keep], "n_symbols", "perplexity"])
-    return score
+        own = wanted.pop().withColumns({"context": F.expr(f"substring(gram, 1, {k - 1})"), "suffix": F.expr("substring(gram, 2)")})
+        own = own.join(p.withColumnRenamed("gram", "suffix"), ["model", "suffix"]).join(back, ["model", "context"], "left").join(q, ["model", "gram"], "left")
+        weight = F.coalesce("gamma", F.lit(1.0))
+        whole = F.coalesce("q", F.lit(0.0)) + weight * F.col("p")
+        p = own.select("model", "gram", whole.alias("p"), F.when(F.col("once"), weight * F.col("l")).otherwise(whole).alias("l"))
+    return p.select("model", "gram", (-F.log("p")).alias("cost"), F.when(F.col("l") != F.col("p"), -F.log("l")).alias("without"))
 
 
-def perplexity(docs: DataFrame, model: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry``, the number of symbols and the perplexity of every row of ``docs``.
+def perplexity(docs: DataFrame, model: DataFrame, carry: list[str], kind: Symbols = CLASSES) -> DataFrame:
+    """``carry``, the number of symbols, the perplexity and that left out of the counts (of trusted texts) of every row of ``docs``.
 
-    Models are broadcast for at most GROUP languages at a time; every row is scored by one of the passes.
+    Texts of one model are dealt into its groups by content and by the columns carried, so that copies spread.
     """
-    spark = docs.sparkSession
-    model = stage(model.groupBy("lang").applyInPandas(_dense, "lang string, cost binary"), "kn_dense")
-    langs = sorted(r.lang for r in model.select("lang").toLocalIterator())
-    known = [x for x in langs if x != ALL]
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", n_symbols long, perplexity double"
-    groups = [known[i:i + GROUP - 1] for i in range(0, len(known), GROUP - 1)] or [[]]
-    parts = []
-    for i, group in enumerate(groups):
-        wanted = model.where(F.col("lang").isin([*group, *([ALL] if i == 0 else [])]))
-        shared = {r.lang: np.frombuffer(zlib.decompress(r.cost), np.float32) for r in wanted.toLocalIterator()}
-        own = F.col("lang").isin(group)
-        mine = docs if len(groups) == 1 else docs.where(F.coalesce(own, F.lit(False)) if i else ~F.coalesce(F.col("lang").isin(known), F.lit(False)) | own)
-        mine = mine.select(*carry, F.when(own, F.col("lang")).otherwise(F.lit(ALL)).alias("model"), "text")
-        parts.append(mine.mapInArrow(_scorer(spark.sparkContext.broadcast(shared)), schema))
-    return reduce(DataFrame.unionByName, parts)
+    given = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    langs = stage(model.where(f"gram = '' and lang <> '{ALL}'").select("lang", F.col("lang").alias("model")), "languages")
+    docs = checked_join(docs.select(*dict.fromkeys([*carry, "lang", "text"])), langs, "lang", "left")
+    docs = docs.select(*carry, "text", F.coalesce("model", F.lit(ALL)).alias("model"))
+    bytes_ = F.coalesce(F.sum(F.octet_length("text")), F.lit(0))
+    groups = stage(docs.groupBy("model").agg(F.ceil(F.greatest(bytes_, F.lit(1)) / F.lit(GROUP << 20)).alias("parts")), "groups")
+    price = stage(costs(stage(docs.select("model", "text").mapInArrow(_asker(kind), "model string, gram string").distinct(), "asked"), model), "costs")
+    dealt = checked_join(docs, groups, "model", "inner").select(
+        *carry, "text", "model", F.pmod(F.xxhash64("text", *carry), F.col("parts")).cast("int").alias("part"))
+    # One shuffle of the texts serves both uses below.
+    dealt = dealt.mapInArrow(_deflate, f"{given}, text binary, model string, part int").groupBy("model", "part")
+    asked = dealt.applyInArrow(_grouper(kind), "model string, part int, gram string")
+    found = asked.join(price.hint("merge"), ["model", "gram"]).select("model", "part", "gram", "cost", "without")
+    return dealt.cogroup(found.groupBy("model", "part")).applyInArrow(_scorer(kind, carry), f"{given}, n_symbols long, perplexity double, left_out double")
 
 
 def band() -> F.Column:
     return reduce(lambda e, b: e + (F.col("n_symbols") >= b).cast("int"), BANDS, F.lit(0))
 
 
-def bounds(known: DataFrame, quantile: float, slack: float, accuracy: int) -> DataFrame:
+def bounds(known: DataFrame, guess: DataFrame, quantile: float, slack: float, accuracy: int) -> DataFrame:
     """(lang, band, low, high) for every language of the trusted rows ``known`` and, under null, for all together; every band has a row.
 
-    Own quantiles weigh as many rows as they rest on, those they back off to weigh BACK rows: a band backs off to its
+    Low ends come from the texts as counted, since copies of trusted texts score so; high ends from each left out of the counts,
+    as texts that the model never saw score. Own quantiles weigh as many rows as they rest on, those they back off to weigh BACK rows: a band backs off to its
     language and a language to the corpus; under null a band backs off to the corpus. The corpus itself meets the bounds
-    0 and BASE (the perplexity of a uniform guess) at the weight of PRIOR rows. No number of rows switches bounds off.
+    0 and that of ``guess`` (one row: the perplexity of a uniform guess) at the weight of PRIOR rows. No number of rows switches bounds off.
     """
-    q = F.percentile_approx("perplexity", [1 - quantile, 0.5, quantile], accuracy).alias("q")
-    held = known.cube("lang", "band").agg(q, F.count("*").alias("n"), F.grouping_id().alias("level"))
-    low, mid, high = (F.col("q")[i] for i in range(3))
-    held = stage(held.select("lang", "band", "level", "n", (mid - (1 + slack) * (mid - low)).alias("a"), (mid + (1 + slack) * (high - mid)).alias("b")),
+    q = [F.percentile_approx(c, [1 - quantile, 0.5, quantile], accuracy).alias(c) for c in ("perplexity", "left_out")]
+    held = known.cube("lang", "band").agg(*q, F.count("*").alias("n"), F.grouping_id().alias("level"))
+    (low, mid), (out, high) = [F.col("perplexity")[i] for i in (0, 1)], [F.col("left_out")[i] for i in (1, 2)]
+    held = stage(held.select("lang", "band", "level", "n", (mid - (1 + slack) * (mid - low)).alias("a"), (out + (1 + slack) * (high - out)).alias("b")),
                  "quantiles")
 
     def back(a: F.Column, b: F.Column, weight: int) -> list[F.Column]:
         n = F.coalesce("n", F.lit(0))
         mean = [(F.coalesce(n * F.col(own), F.lit(0.0)) + weight * up) / (n + weight) for own, up in (("a", a), ("b", b))]
         return [mean[0].alias("low"), mean[1].alias("high")]
-    corpus = held.where("level = 3").select(*back(F.lit(0.0), F.lit(float(BASE)), PRIOR)).toDF("up_low", "up_high")
+    corpus = held.where("level = 3").crossJoin(F.broadcast(guess)).select(*back(F.lit(0.0), F.col("guess"), PRIOR)).toDF("up_low", "up_high")
     langs = held.where("level = 1 and lang is not null").crossJoin(corpus).select("lang", *back(F.col("up_low"), F.col("up_high"), BACK))
     upper = langs.toDF("lang", "up_low", "up_high").unionByName(corpus.withColumn("lang", F.lit(None).cast("string")))
     upper = upper.withColumn("band", F.explode(F.array(*[F.lit(i) for i in range(len(BANDS) + 1)]))).alias("u")
@@ -224,10 +343,11 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, carry: list[str] | None =
     carry = carry or ["doc_id", "lang"]
     trusted_ids = stage(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted_ids")
     docs = docs.select(*dict.fromkeys([*carry, "doc_id", "lang", "text"]))
-    model = fit(checked_join(docs, trusted_ids, "doc_id", "left_semi"))
-    scored = stage(perplexity(docs, model, list(dict.fromkeys([*carry, "doc_id", "lang"]))).withColumn("band", band()), "perplexity")
+    model = fit(checked_join(docs, trusted_ids, "doc_id", "left_semi"), POINTS)
+    guess = model.where(f"gram = '' and lang = '{ALL}'").select((1 / F.col("q")).alias("guess"))
+    scored = stage(perplexity(docs, model, list(dict.fromkeys([*carry, "doc_id", "lang"])), POINTS).withColumn("band", band()), "perplexity")
     known = checked_join(scored, trusted_ids, "doc_id", "left_semi").where("perplexity is not null")
-    each = stage(bounds(known, quantile, slack, accuracy), "bounds")
+    each = stage(bounds(known, guess, quantile, slack, accuracy), "bounds")
     own = small(each.where("lang is not null"))
     pooled = small(each.where("lang is null").select("band", F.col("low").alias("low_all"), F.col("high").alias("high_all")))
     out = scored.join(own, ["lang", "band"], "left").join(pooled, "band", "left")
