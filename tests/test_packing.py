@@ -46,3 +46,13 @@ def test_medians_read_the_exchange_of_the_windows(spark, monkeypatch):
     read = pairs.select("f1_won", "f1_sub_rate", "f2_sig_landed_last_5", "f2_td_landed_last_5")
     read.collect()
     assert "ReusedExchange" in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_adjusted_columns_of_a_large_table_equal_the_others(spark, monkeypatch):
+    from duelframe.plans.q_features import _AVG, _ROLL, spec
+    small = Tables(spark, SF, staged=False).adjusted
+    monkeypatch.setattr(tables_module, "LARGE", 0)
+    large, skills = Tables(spark, SF), list(spec.SKILLS)
+    for outputs, measures, read in ((["adj_win_rate"], ["won"], ["quality"]), (_AVG + _ROLL, ["won", "sig_landed", "td_landed", "control_s", "kd"], skills)):
+        assert rows(large.adjusted_of(outputs, measures, read)) == rows(small.select("contest_id", "side_id", *outputs))
+    assert "profiled" not in large.__dict__
